@@ -8,13 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, decontaminate, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "n_words",
+        F.expr("aggregate(leak_spans, 0L, (n, s) -> n + s.end - s.begin)").alias("n_hit"),
+        F.size("leak_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("leak_items", ","), 256).alias("items_sha256"),
+        (F.size("leak_items") >= 2).alias("contaminated"),
+    )
+
+
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -24,7 +36,7 @@ def op9_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_simhash_trie, op9_bpe_prefix_dp)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_fm_index, op8_simhash_trie, op9_bpe_prefix_dp)}
 
 #: DuckDB SQL of the queries that it can express on whole tables.
 ORACLE: dict[str, str] = {}
