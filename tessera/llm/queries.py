@@ -8,13 +8,53 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, simhash
+from . import bpe, decontaminate, pii, quality, rollup, simhash, toxicity
+from .common import cut, fold, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The counts that op2 keeps: words by the first tokenizer version, letters-and-digits runs by the second.
+_WORDS, _RUNS = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over all documents: all come with words-1 counts; French and German ones are
+    revised to runs-2 counts; documents of under 20 words are taken down. The
+    second batch is committed twice, which changes nothing.
+    """
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    counts = cut(docs.select("source", "lang", F.regexp_count(text, F.lit(_WORDS)).cast("long").alias("words"), F.regexp_count(F.lower(text), F.lit(_RUNS)).cast("long").alias("runs")))
+    old = counts.select("source", "lang", F.lit("words-1").alias("tokenizer"), F.col("words").alias("n_tokens"), "words")
+    new = counts.select("source", "lang", F.lit("runs-2").alias("tokenizer"), F.col("runs").alias("n_tokens"), "words")
+    moved = F.col("lang").isin("fr", "de")
+    now = new.where(moved).unionByName(old.where(~F.coalesce(moved, F.lit(False))))
+    kept = rollup.Rollup(spark, shared_path(spark, "token-rollup"))
+    kept.commit("0001-load", rollup.inserts(old))
+    for _ in range(2):
+        kept.commit("0002-upgrade", rollup.revisions(old.where(moved), new.where(moved)))
+    kept.compact()
+    kept.commit("0003-takedown", rollup.deletes(now.where("words < 20")))
+    return kept.totals()
+
+
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    found = quality.score(docs, model)
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_text_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    found = toxicity.score(docs, model)
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.col("toxic").alias("over_threshold"))
+
+
 def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -36,7 +76,30 @@ def op9_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_fm_index, op8_simhash_trie, op9_bpe_prefix_dp)}
+def op10_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    kind = lambda k: F.element_at(F.array(*map(F.lit, pii.KINDS)), k + 1)
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s.kind), s.begin, s.end)), ",")
+    every = F.array_sort(F.concat(F.col("base"), F.transform("terms", lambda s: F.struct(s.begin.alias("begin"), F.lit(4).alias("kind"), s.end.alias("end")))))
+    n = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    return found.select("doc_id", *map(n, range(4)), F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(every).alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_rollup, op4_byte_cnn, op5_text_cnn, op7_fm_index, op8_simhash_trie, op9_bpe_prefix_dp, op10_information_pii)}
 
 #: DuckDB SQL of the queries that it can express on whole tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_token_rollup": r"""
+        with counted as (
+            select source, lang, coalesce(text, '') as t from documents
+        ), sized as (
+            select source, lang, coalesce(lang in ('fr', 'de'), false) as moved,
+                   len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as words,
+                   len(regexp_extract_all(lower(t), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as runs
+            from counted
+        )
+        select source, lang, case when moved then 'runs-2' else 'words-1' end as tokenizer,
+               cast(count(*) as bigint) as n_docs, cast(sum(case when moved then runs else words end) as bigint) as n_tokens
+        from sized where words >= 20 group by 1, 2, 3
+    """,
+}
