@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, quality, rollup, simhash, toxicity
+from . import ann, bpe, decontaminate, lm, pii, quality, rollup, simhash, toxicity
 from .common import cut, fold, shared_path
 
 
@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 5) == 1
+    found = lm.fit_and_score(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: The counts that op2 keeps: words by the first tokenizer version, letters-and-digits runs by the second.
 _WORDS, _RUNS = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -41,6 +47,11 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.totals()
 
 
+def op3_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
@@ -85,7 +96,7 @@ def op10_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(n, range(4)), F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(every).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_rollup, op4_byte_cnn, op5_text_cnn, op7_fm_index, op8_simhash_trie, op9_bpe_prefix_dp, op10_information_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_gated_lm, op2_token_rollup, op3_hilbert_ann, op4_byte_cnn, op5_text_cnn, op7_fm_index, op8_simhash_trie, op9_bpe_prefix_dp, op10_information_pii)}
 
 #: DuckDB SQL of the queries that it can express on whole tables.
 ORACLE: dict[str, str] = {
