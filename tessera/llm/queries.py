@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, lm, pii, quality, rollup, simhash, toxicity
+from . import ann, bpe, decontaminate, lines, lm, pii, quality, rollup, simhash, toxicity
 from .common import cut, fold, shared_path
 
 
@@ -66,6 +66,10 @@ def op5_text_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.col("toxic").alias("over_threshold"))
 
 
+def op6_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -96,7 +100,7 @@ def op10_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(n, range(4)), F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(every).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_gated_lm, op2_token_rollup, op3_hilbert_ann, op4_byte_cnn, op5_text_cnn, op7_fm_index, op8_simhash_trie, op9_bpe_prefix_dp, op10_information_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_gated_lm, op2_token_rollup, op3_hilbert_ann, op4_byte_cnn, op5_text_cnn, op6_minhash_lines, op7_fm_index, op8_simhash_trie, op9_bpe_prefix_dp, op10_information_pii)}
 
 #: DuckDB SQL of the queries that it can express on whole tables.
 ORACLE: dict[str, str] = {
