@@ -146,7 +146,7 @@ class Engine:
             q = binder.query(s.query)
             if len(q.names) != len(names):
                 raise wrong
-            given = {n: cast(Bound(f"c{i}", q.types[i], "column"), kinds[n], s.at).sql for i, n in enumerate(names)}
+            given = {n: cast(Bound(f"c{i}", None if q.untyped[i] else q.types[i], "column"), kinds[n], s.at).sql for i, n in enumerate(names)}
             source = f"({q.sql}) AS s"
         else:
             rows = []
