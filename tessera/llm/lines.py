@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash, in DataFrame and SQL functions only.
 
-A line is compared in lower case without outer white space. Its signature is
+A line is compared without outer white space. Its signature is
 the bottom of a MinHash ordering: character shingles that begin where a
 word does are hashed, the smallest SKETCH distinct hashes are kept in order,
 and each two neighbours of them make a band. Lines that share a band are candidates; of
@@ -11,18 +11,27 @@ first line stays.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, shared_dir
+from .common import components, cut, shared_dir, stored
 
 #: Hashes of a signature; SKETCH - 1 bands. A pair at the threshold shares a band with a probability of 0.985.
 SKETCH = 12
 CHARS = 5
-#: A shingle begins at the start of a line, after white space, digits, rare letters or joining signs, and anywhere in
-#: scripts that don't part words by spaces.
-_ANCHOR = r"(?s)(?<![^\s0-9jkqxz/=+_\-฀-໿က-႟ក-៿⺀-퟿豈-﫿])(?=(\S.{0,8}))"
+#: A shingle begins after each space; in lines of long words, as in scripts that don't part them, anywhere. Lines between
+#: the two numbers of characters a word have both signatures, so that similar lines always have one in common.
+_WORDWISE, _DENSE = r"(?s) (?=(\S.{0,8}))", r"(?s)(?=(.{9}))"
+LONG_WORDS = (12, 20)
+#: Candidates whose sketches share fewer hashes aren't verified (a pair at the threshold shares about eight of twelve;
+#: fewer than five with a probability of 0.02); of sketches that aren't full a third must be shared.
+COMMON = 5
+#: A band of more lines that aren't all like its first one is split by leaving out what its lines have in common.
+HOT = 64
 _SHINGLE = r"(?s)(?=(.{5}))"
+_BLANK = " \t\r\x0b\x0c"
 #: Rows of one long at most that are broadcast; larger sides are shuffled.
 SMALL = 1_000_000
 _LINES = 4294967296  # places of lines within a document
@@ -35,7 +44,7 @@ def _if_small(df: DataFrame, rows: int) -> DataFrame:
 def lines_of(documents: DataFrame) -> DataFrame:
     """(doc_id, row, line_no, norm, key) of every line; ``row`` tells rows that share an id apart, key is null for blank lines."""
     text = documents["text"].cast("string")
-    norm = F.lower(F.regexp_replace("line", r"^\s+|\s+$", ""))
+    norm = F.btrim("line", F.lit(_BLANK))
     return (
         documents.select(documents["doc_id"].cast("long").alias("doc_id"), F.xxhash64(documents["doc_id"].cast("long"), text).alias("row"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
         .select("doc_id", "row", "line_no", norm.alias("norm"))
@@ -43,17 +52,26 @@ def lines_of(documents: DataFrame) -> DataFrame:
     )
 
 
-def _bands(norm: Column) -> list[Column]:
-    """Columns t1 .. of the bands of a line; null beyond its own."""
-    at = lambda i: F.col("s")[i]
-    n = F.size("s")
-    pairs = [F.when(n > i + 1, F.xxhash64(at(i), at(i + 1))) for i in range(SKETCH - 1)]
-    # lines of few shingles also band by single hashes (three or fewer) or by every other one (six or fewer)
-    for i in range(3):
-        pairs[SKETCH - 2 - i] = F.coalesce(pairs[SKETCH - 2 - i], F.when((n <= 3) & (n > i), F.xxhash64(F.lit("one"), at(i))))
-    for i in range(4):
-        pairs[SKETCH - 5 - i] = F.coalesce(pairs[SKETCH - 5 - i], F.when((n <= 6) & (n > i + 2), F.xxhash64(at(i), at(i + 2))))
-    return [p.alias(f"t{i}") for i, p in enumerate(pairs)]
+def _shingles(pattern: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.concat(F.lit(" "), "norm"), F.lit(pattern), F.lit(1)), lambda x: F.xxhash64(x)))
+
+
+def _sketch(shingles: Column) -> Column:
+    """The smallest hashes of the line's shingles, in order."""
+    return F.slice(F.sort_array(shingles), 1, SKETCH)
+
+
+def _bands(s: str) -> Column:
+    """The bands of sketch ``s``, SKETCH - 1 at most: each two neighbours; in sketches of six or fewer hashes every other two as well, of three or fewer each alone."""
+    n, c = F.size(s), F.col(s)
+    none = F.array().cast("array<bigint>")
+    pairs = lambda step: F.transform(F.sequence(F.lit(0), n - 1 - step), lambda i: F.xxhash64(c[i], c[i + step]))
+    parts = F.concat(
+        F.when(n >= 2, pairs(1)).otherwise(none),
+        F.when((n >= 3) & (n <= 6), pairs(2)).otherwise(none),
+        F.when((n >= 1) & (n <= 3), F.transform(c, lambda x: F.xxhash64(F.lit("one"), x))).otherwise(none),
+    )
+    return F.when(c.isNull(), none).otherwise(parts)
 
 
 def _place(doc_id: Column, line_no: Column) -> Column:
@@ -62,48 +80,98 @@ def _place(doc_id: Column, line_no: Column) -> Column:
 
 
 def jaccard_at_least(a: Column, b: Column) -> Column:
-    """Whether the sets of five-character shingles are similar by 0.8 or more; a shorter line is one shingle."""
-    shingles = lambda x: F.when(F.char_length(x) < CHARS, F.array(x)).otherwise(F.array_distinct(F.regexp_extract_all(x, F.lit(_SHINGLE), F.lit(1))))
-    both = F.struct(shingles(a).alias("a"), shingles(b).alias("b"))
-    return F.element_at(F.transform(F.array(both), lambda s: F.size(F.array_intersect(s.a, s.b)) * 9 >= (F.size(s.a) + F.size(s.b)) * 4), 1)
+    """Whether the sets of five-character shingles are similar by 0.8 or more; a shorter line is one shingle. Shingles are told apart by 64-bit hashes."""
+    hashed = lambda x, pattern: F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), lambda y: F.xxhash64(y)))
+    shingles = lambda x: F.when(F.char_length(x) < CHARS, F.array(F.xxhash64(x))).otherwise(hashed(x, _SHINGLE))
+    words = lambda x: hashed(F.concat(F.lit(" "), x), _WORDWISE)
+    of = lambda f, test: F.element_at(F.transform(F.array(F.struct(f(a).alias("a"), f(b).alias("b"))), lambda s: test(F.size(F.array_intersect(s.a, s.b)), F.size(s.a), F.size(s.b))), 1)
+    # the fewer shingles at word starts come first: lines that share under three in ten of these can't share eight in ten of all
+    return F.when(of(words, lambda n, x, y: (F.least(x, y) < SKETCH) | (n * 13 >= (x + y) * 3)), of(shingles, lambda n, x, y: n * 9 >= (x + y) * 4)).otherwise(False)
+
+
+def _worth(a: Column, b: Column) -> Column:
+    """Whether sketches leave a similarity of 0.8 likely."""
+    least, both = F.least(F.size(a), F.size(b)), F.size(F.array_intersect(a, b))
+    return both >= F.when(least >= SKETCH, COMMON).otherwise(F.ceil(least / 3))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of distinct ``pairs`` (u, v), those that are similar."""
+    sketches = texts.select("key", "s", "dense")
+    side = lambda k, n: sketches.select(F.col("key").alias(k), F.col("s").alias(f"s{n}"), F.col("dense").alias(f"d{n}"))
+    paired = pairs.join(side("u", 0), "u").join(side("v", 1), "v")
+    likely = cut(paired.where(F.coalesce(_worth(F.col("s0"), F.col("s1")), F.lit(False)) | F.coalesce(_worth(F.col("d0"), F.col("d1")), F.lit(False))).select("u", "v"))
+    number = likely.count()
+    if not number:
+        return likely
+    needed = texts.select("key", "norm").join(_if_small(likely.select(F.explode(F.array("u", "v")).alias("key")).distinct(), 2 * number), "key", "left_semi")
+    return cut(
+        likely.join(needed.select(F.col("key").alias("u"), F.col("norm").alias("a")), "u").join(needed.select(F.col("key").alias("v"), F.col("norm").alias("b")), "v")
+        .where(jaccard_at_least(F.col("a"), F.col("b"))).select("u", "v")
+    )
 
 
 def links(bands: DataFrame, texts: DataFrame) -> DataFrame:
     """Linked pairs (u, v) of keys that hold every band's similar lines together.
 
     ``bands`` (t, key): members of bands of two or more lines; ``texts``
-    (key, norm). In each round some members of a band lead: those found
-    similar that haven't led yet or, where there are none, new seeds. They are
-    verified against all members that nobody was found similar to so far. The
-    number of leaders of a band starts at one and grows fourfold, so that a cluster of near copies,
-    whatever its size, takes a few rounds and about a pair for each member, and
-    a band of unlike lines is still compared completely. A band is done when
-    nobody is left, so no link between different clusters is lost.
+    (key, s, dense, norm): sketches and texts. In each round some members of a
+    band lead: those found similar that haven't led yet or, where there are
+    none, new seeds. They are verified against all members that nobody was
+    found similar to so far; their number grows from one to all, so a cluster of near
+    copies takes a round or two and about a pair for each member, and unlike lines are compared
+    completely. A band of over HOT members that aren't all like its first
+    one holds lines that share a passage, not the rest. Its first member and the first
+    unlike it give the shingles in common; all its members are banded anew without these, and so on until no
+    such band is left. Members with nothing else stay together, whatever their number.
     """
-    seen, most = None, 1
-    state = bands.select("t", "key", F.lit(0).alias("st"))  # 0: nobody similar yet, 1: found similar, 2: has led
+    found, level = [], bands.select("t", "key", F.lit(False).alias("last"))
     in_band = Window.partitionBy("t")
+    wordwise = cut(texts.select("key", F.coalesce(_shingles(_WORDWISE), F.array().cast("array<bigint>")).alias("h")).join(_crowded(bands), "key", "left_semi"))
     while True:
-        turn = state.withColumn("able", F.col("st") == F.max(F.when(F.col("st") < 2, F.col("st"))).over(in_band))
-        turn = turn.withColumn("lead", F.col("able") & (F.row_number().over(in_band.orderBy(F.desc("able"), "key")) <= most)).select("t", "key", "st", "lead")
-        turn = cut(turn)
-        met = turn.where("lead").select("t", F.col("key").alias("x")).join(turn.where("st = 0").select("t", F.col("key").alias("y")), "t").where("x <> y")
-        met = cut(met.select("t", "y", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
-        new = met.select("u", "v").distinct()
-        if seen is not None:
-            new = new.join(seen.select("u", "v"), ["u", "v"], "left_anti")
-        checked = cut(
-            new.join(texts.select(F.col("key").alias("u"), F.col("norm").alias("a")), "u").join(texts.select(F.col("key").alias("v"), F.col("norm").alias("b")), "v")
-            .select("u", "v", jaccard_at_least(F.col("a"), F.col("b")).alias("near"))
-        )
-        seen = checked if seen is None else seen.unionByName(checked)
-        hit = met.join(seen.where("near"), ["u", "v"]).select("t", F.col("y").alias("key")).distinct().withColumn("hit", F.lit(True))
-        now = F.when(F.col("lead"), 2).when(F.col("hit"), 1).otherwise(F.col("st"))
-        state = turn.join(hit, ["t", "key"], "left").select("t", "key", now.alias("st"))
-        state = cut(state.withColumn("open", F.min("st").over(in_band)).where("open = 0").select("t", "key", "st"))
-        if state.isEmpty():
-            return seen.where("near").select("u", "v")
-        most = min(4 * most, 4096)
+        state, most, anew = level.withColumn("st", F.lit(0)), 1, None  # st 0: nobody similar yet, 1: found similar, 2: has led
+        while True:
+            turn = state.withColumn("able", F.col("st") == F.max(F.when(F.col("st") < 2, F.col("st"))).over(in_band))
+            turn = cut(turn.withColumn("lead", F.col("able") & (F.row_number().over(in_band.orderBy(F.desc("able"), "key")) <= most)).select("t", "key", "last", "st", "lead"))
+            met = turn.where("lead").select("t", F.col("key").alias("x")).join(turn.where("st = 0").select("t", F.col("key").alias("y")), "t").where("x <> y")
+            met = cut(met.select("t", "y", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
+            near = _verified(met.select("u", "v").distinct(), texts)
+            found.append(near)
+            hit = met.join(near, ["u", "v"]).select("t", F.col("y").alias("key")).distinct().withColumn("hit", F.lit(True))
+            now = F.when(F.col("lead"), 2).when(F.col("hit"), 1).otherwise(F.col("st"))
+            left = turn.join(hit, ["t", "key"], "left").select("t", "key", "last", now.alias("st")).withColumn("open", F.min("st").over(in_band)).withColumn("n", F.count("*").over(in_band)).where("open = 0")
+            state = cut(left.select("t", "key", "last", "st", ((F.col("n") > HOT) & ~F.col("last")).alias("hot")))
+            if most == 1:
+                anew = state.where("hot").select("t", "key", "st")
+            state = state.where("not hot").select("t", "key", "last", "st")
+            if state.isEmpty():
+                break
+            most = min(8 * most, 1 << 20)
+        if anew.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        level = _banded_anew(anew, wordwise)
+        wordwise, level = level
+
+
+def _crowded(bands: DataFrame) -> DataFrame:
+    """Keys of bands of over HOT members."""
+    return bands.withColumn("n", F.count("*").over(Window.partitionBy("t"))).where(F.col("n") > HOT).select("key").distinct()
+
+
+def _banded_anew(members: DataFrame, shingles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Shingles (key, h) of the members (t, key, st) without what their bands have in common, and the bands (t, key, last) that follow."""
+    pairs = members.groupBy("t").agg(F.min(F.when(F.col("st") == 2, F.col("key"))).alias("a"), F.min(F.when(F.col("st") == 0, F.col("key"))).alias("b")).select("a", "b").distinct()
+    side = lambda k: shingles.select(F.col("key").alias(k), F.col("h").alias(f"h{k}"))
+    common = cut(pairs.join(side("a"), "a").join(side("b"), "b").select(F.explode(F.array_intersect("ha", "hb")).alias("x")).distinct())
+    keys = members.select("key").distinct()
+    each = shingles.join(keys, "key", "left_semi").select("key", F.explode_outer("h").alias("x"))
+    kept = each.join(_if_small(common.withColumn("stop", F.lit(True)), common.count()), "x", "left").groupBy("key").agg(F.collect_set(F.when(F.col("stop").isNull(), F.col("x"))).alias("h"))
+    rest = cut(kept)
+    banded = rest.select("key", _sketch(F.col("h")).alias("s")).select("key", F.explode(_bands("s")).alias("t")).select("t", "key", F.lit(False).alias("last"))
+    # what has no shingle left stays in the bands it had, which are then compared to the end
+    bare = members.select("t", "key").join(rest.where(F.size("h") == 0).select("key"), "key", "left_semi").select("t", "key", F.lit(True).alias("last"))
+    every = banded.unionByName(bare).withColumn("n", F.count("*").over(Window.partitionBy("t", "last"))).where("n > 1").select("t", "key", "last")
+    return rest, cut(every)
 
 
 def duplicates(documents: DataFrame) -> DataFrame:
@@ -118,17 +186,21 @@ def duplicates(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     shared_dir(spark)
     lines = lines_of(documents)
-    signed = lines.where("key is not null").select(
-        "key", _place(F.col("doc_id"), F.col("line_no")).alias("place"), "norm",
-    ).withColumn("s", F.slice(F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("norm", F.lit(_ANCHOR), F.lit(1)), lambda x: F.xxhash64(x)))), 1, SKETCH))
-    names = [f"t{i}" for i in range(SKETCH - 1)]
+    words = F.char_length("norm") - F.char_length(F.replace("norm", F.lit(" "))) + 1
+    low, high = LONG_WORDS
+    signed = (
+        lines.where("key is not null").select("key", _place(F.col("doc_id"), F.col("line_no")).alias("place"), "norm", (F.char_length("norm") / words).alias("per"))
+        .select("key", "place", "norm", F.when(F.col("per") <= high, _sketch(_shingles(_WORDWISE))).alias("s"), F.when(F.col("per") >= low, _sketch(_shingles(_DENSE))).alias("dense"))
+    )
+    names = [f"t{i}" for i in range(2 * SKETCH - 2)]
     # equal lines have equal bands: summed in each task before the shuffle, a hot line costs one row a task
-    keys = cut(signed.select("key", "place", *_bands(F.col("norm"))).groupBy("key").agg(F.min("place").alias("place"), *[F.min(t).alias(t) for t in names]))
+    banded = signed.select("key", "place", F.concat(_bands("s"), _bands("dense")).alias("b"))
+    keys = cut(banded.select("key", "place", *[F.get("b", F.lit(i)).alias(t) for i, t in enumerate(names)]).groupBy("key").agg(F.min("place").alias("place"), *[F.min(t).alias(t) for t in names]))
     spread = keys.select(F.explode(F.array_compact(F.array_distinct(F.array(*names)))).alias("t"), "key")
     bands = cut(spread.withColumn("n", F.count("*").over(Window.partitionBy("t"))).where("n > 1").select("t", "key"))
-    members = cut(bands.select("key").distinct())
+    members = cut(keys.select("key", "place").join(bands.select("key").distinct(), "key", "left_semi"))
     wanted = _if_small(members, members.count())
-    texts = cut(lines.where("key is not null").select("key", "norm").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("norm").alias("norm")))
+    texts = stored(signed.join(wanted, ["key", "place"], "left_semi").select("key", "s", "dense", "norm").dropDuplicates(["key"]), "lines")
     roots = cut(components(links(bands, texts)))
     linked = keys.select("key", "place").join(roots.withColumnRenamed("node", "key"), "key")
     first = linked.groupBy("root").agg(F.min("place").alias("first"))
@@ -154,7 +226,7 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     text = documents["text"].cast("string")
     joined = documents.withColumn("_row", F.xxhash64(documents["doc_id"].cast("long"), text)).join(gone, "_row", "left")
     rebuilt = F.transform(F.array(F.split("text", "\n")), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("_gone")), lambda i: p[i]), "\n"))[0]
-    out = joined.withColumn("_new", F.when(F.col("_gone").isNotNull(), rebuilt)).where(r"_gone is null or _new rlike '\\S'")
+    out = joined.withColumn("_new", F.when(F.col("_gone").isNotNull(), rebuilt)).where(F.col("_gone").isNull() | (F.btrim("_new", F.lit(_BLANK + "\n")) != ""))
     out = out.withColumn("text", F.coalesce("_new", "text"))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("_new").isNotNull(), F.char_length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

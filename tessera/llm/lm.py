@@ -28,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, raw, small_batches, text_of
+from .common import cut, raw, small_batches, stored, text_of
 from .learn import Adam
 
-HEAD, SIZE, TAILS, HIDDEN = 2048, 64, 32, 24
+HEAD, SIZE, TAILS, HIDDEN = 1024, 64, 32, 16
 #: Words whose counts every worker holds; counts of rarer ones come by a join.
 KNOWN = 1 << 18
 #: Lanes and steps of a training window; longer texts train in segments of so many tokens, which keep their order and context token.
-LANES, STEPS, SEGMENT = 512, 16, 1024
-SCORE_LANES, SCORE_STEPS = 256, 32
+LANES, STEPS, SEGMENT = 1024, 12, 1024
+SCORE_LANES, SCORE_STEPS = 1024, 16
 #: Tokens a task holds at once when it trains or scores, unless a single text is longer.
 HELD = 1 << 22
 #: The sample that starts the network: bytes of text and rounds.
@@ -138,16 +138,26 @@ def _by_class(symbols: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     return cls, order, ((k, order[ends[k] : ends[k + 1]]) for k in range(heads) if ends[k + 1] > ends[k])
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+def _with_one(hs: np.ndarray) -> np.ndarray:
+    """States with a column of ones, for the biases."""
+    return np.concatenate((hs, np.ones((len(hs), 1), np.float32)), axis=1)
+
+
+def _scores(hs: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Unnormalised log probabilities, kept where exp() holds them."""
+    z = hs @ np.concatenate((weights, bias[None, :]))
+    return np.minimum(z, 60, out=z)
+
+
+def _log_share(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log of the chosen entry's share in each row's sum of exponentials; ``z`` is used up."""
+    own = z[np.arange(len(z)), chosen]
+    return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z *= (1 / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
     return z
 
 
@@ -204,22 +214,22 @@ class Trainer:
         self.tokens += n
         hs, goal = flat[real], goal[real]
         cls, _, parts = _by_class(goal, self.v)
-        d = _softmax(hs @ p["cls"] + p["cls_b"])
+        ones = _with_one(hs)
+        d = _softmax(_scores(ones, p["cls"], p["cls_b"]))
         d[np.arange(n), cls] -= 1
-        d /= n
-        grad = {"cls": hs.T @ d, "cls_b": d.sum(axis=0)}
+        g = ones.T @ d
+        grad = {"cls": g[:-1] / n, "cls_b": g[-1] / n}
         back_h = d @ p["cls"].T
         for c, where in parts:
-            own = hs[where]
-            e = _softmax(own @ p["word"][c] + p["word_b"][c])
+            own = ones[where]
+            e = _softmax(_scores(own, p["word"][c], p["word_b"][c]))
             e[np.arange(len(where)), goal[where] - c * self.v.size] -= 1
-            e /= n
             back_h[where] += e @ p["word"][c].T
-            g = own.T @ e
+            g = own[:, :-1].T @ e / n
             self.seen_word[c] += (g * g).mean(axis=0)
             p["word"][c] -= ROW_RATE * 0.3 * g / np.sqrt(self.seen_word[c])
         out = np.zeros((steps * lanes, k), np.float32)
-        out[real] = back_h
+        out[real] = back_h / n
         out = out.reshape(steps, lanes, k)
         dx, dg = np.empty((steps, lanes, 3 * k), np.float32), np.empty((steps, lanes, 3 * k), np.float32)
         carry = np.zeros((lanes, k), np.float32)
@@ -291,9 +301,10 @@ def log_probabilities(v: Vocabulary, p: dict[str, np.ndarray], texts: list[np.nd
         real = np.flatnonzero(goal >= 0)
         hs, goal = states.reshape(-1, HIDDEN)[real], goal[real]
         cls, _, parts = _by_class(goal, v)
-        logp = _log_softmax(hs @ p["cls"] + p["cls_b"])[np.arange(len(goal)), cls].astype(np.float64)
+        ones = _with_one(hs)
+        logp = _log_share(_scores(ones, p["cls"], p["cls_b"]), cls).astype(np.float64)
         for c, where in parts:
-            logp[where] += _log_softmax(hs[where] @ p["word"][c] + p["word_b"][c])[np.arange(len(where)), goal[where] - c * v.size]
+            logp[where] += _log_share(_scores(ones[where], p["word"][c], p["word_b"][c]), goal[where] - c * v.size)
         out += np.bincount(owner[at : at + size, :live].reshape(-1)[real], weights=logp, minlength=len(texts))
     return out / np.log(10)
 
@@ -312,7 +323,7 @@ def count_words(documents: DataFrame) -> DataFrame:
         for b in batches:
             for t in raw(b.column(0)):
                 counts.update(tokens(t))
-            if len(counts) > 400_000:
+            if len(counts) > 1_000_000:
                 yield rows()
                 counts.clear()
         if counts:
@@ -371,8 +382,48 @@ def _average(parts: DataFrame) -> DataFrame:
     return parts.groupBy("i", "g").applyInArrow(mean, schema).withColumn("g", F.lit(0)).groupBy("i", "g").applyInArrow(mean, schema)
 
 
-def train(documents: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
-    """Weights after one pass over all ``documents``."""
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """Views of a list column's values, as symbols."""
+    values, at = column.values.to_numpy(zero_copy_only=False).astype(np.int32), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def prepare(documents: DataFrame, training: Column, v: Vocabulary) -> DataFrame:
+    """Of every row: its tokens' symbols, what known words add to the scores, and the other words.
+
+    Workers know the KNOWN most frequent words. Other tokens go on as (word, number) with a key of the text, for a join with all counts.
+    """
+    spark = documents.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(v)
+
+    def run(batches):
+        v = shared.value
+        unit = v.total + 0.5 * (v.distinct + 1)
+        base_of = np.log10((v.counts + 0.5) / unit)
+        own_of = np.zeros(len(v.words))  # a known tail word's share of its class
+        k = v.symbol[v.head :] - v.head
+        own_of[v.head :] = np.log10(v.counts[v.head :] / v.tail_mass[k])
+        names = ["doc_id", "training", "symbols", "n_known", "base_score", "score", "key", "words", "times"]
+        types = [pa.int64(), pa.bool_(), pa.list_(pa.int16()), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
+        for b in batches:
+            rows = []
+            for i, own, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw(b.column(2))):
+                ids, rest = v.ids(t)
+                known = ids[ids >= 0]
+                c = Counter(rest)
+                key = hashlib.blake2b(t, digest_size=16).hexdigest() if c else None
+                rows.append((i, own, v.symbols(ids, rest).astype(np.int16), len(known), float(base_of[known].sum()), float(own_of[known].sum()), key, [w.decode() for w in c], list(c.values())))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    schema = "doc_id long, training boolean, symbols array<smallint>, n_known long, base_score double, score double, key string, words array<string>, times array<long>"
+    own = F.coalesce(training, F.lit(False)).alias("training")
+    return stored(documents.select(F.col("doc_id").cast("long").alias("doc_id"), own, text_of(documents)).mapInArrow(run, schema), "lm-symbols")
+
+
+def train(documents: DataFrame, prepared: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
+    """Weights after one pass over all rows of ``prepared``, which are those of ``documents``."""
     spark = documents.sparkSession
     start = Trainer(v, fresh(v))
     if v.head:
@@ -388,9 +439,9 @@ def train(documents: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
         v, p = shared.value
         own, held, size = Trainer(v, p), [], 0
         for b in batches:
-            for t in raw(b.column(0)):
-                held.append(v.symbols(*v.ids(t)))
-                size += len(held[-1])
+            for t in _lists(b.column(0)):
+                held.append(t)
+                size += len(t)
                 if size >= HELD:
                     own.run(held)
                     held, size = [], 0
@@ -403,7 +454,7 @@ def train(documents: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([group] * n, pa.int32()), pa.array([float(own.tokens)] * n), pa.array(cuts, pa.list_(pa.float32()))], ["i", "g", "w", "x"])
 
     small_batches(spark)
-    rows = _average(documents.select(text_of(documents)).mapInArrow(fit, "i int, g int, w double, x array<float>")).collect()
+    rows = _average(prepared.select("symbols").mapInArrow(fit, "i int, g int, w double, x array<float>")).collect()
     if not rows:
         return start.p
     flat = np.concatenate([np.array(r.x, np.float32) for r in sorted(rows, key=lambda r: r.i)])
@@ -414,70 +465,58 @@ def train(documents: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
     return out
 
 
-def score(documents: DataFrame, counts: DataFrame, v: Vocabulary, p: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of every row.
+def score(prepared: DataFrame, counts: DataFrame, v: Vocabulary, p: dict[str, np.ndarray]) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of every prepared row.
 
-    Workers know the KNOWN most frequent words. Other tokens leave as (text's
-    key, word, number) and meet the counts of all words in a join; their sums
-    come back to the rows by key, so that equal texts share them and repeated rows stay.
+    The sums over words that workers don't know come back by the text's key,
+    so equal texts share them and repeated rows stay.
     """
-    spark = documents.sparkSession
-    small_batches(spark)
+    spark = prepared.sparkSession
     shared = spark.sparkContext.broadcast((v, p))
 
     def run(batches):
         v, p = shared.value
-        unit = v.total + 0.5 * (v.distinct + 1)
-        base_of = np.log10((v.counts + 0.5) / unit)
-        own_of = np.zeros(len(v.words))  # a known tail word's share of its class
-        k = v.symbol[v.head :] - v.head
-        own_of[v.head :] = np.log10(v.counts[v.head :] / v.tail_mass[k])
-        held: list = []
+        held, size = [], 0
 
         def flush():
-            logp = log_probabilities(v, p, [s for _, _, s, *_ in held])
-            cols = list(zip(*((i, n, known, base, own + x, key, w, c) for (i, n, s, known, base, own, key, w, c), x in zip(held, logp))))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
-            names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "key", "words", "times"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+            texts = [t for b in held for t in _lists(b.column(1))]
+            logp, at = log_probabilities(v, p, texts), 0
+            for b in held:
+                n = b.num_rows
+                own = b.column(4).to_numpy() + logp[at : at + n]
+                tokens = np.array([len(t) for t in texts[at : at + n]], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens), b.column(2), b.column(3), pa.array(own), b.column(5)], ["doc_id", "n_tokens", "n_known", "base_score", "score", "key"])
+                at += n
 
-        size = 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), raw(b.column(1))):
-                ids, rest = v.ids(t)
-                known = ids[ids >= 0]
-                s = v.symbols(ids, rest)
-                c = Counter(rest)
-                key = hashlib.blake2b(t, digest_size=16).hexdigest() if c else None
-                held.append((i, len(ids), s, len(known), float(base_of[known].sum()), float(own_of[known].sum()), key, [w.decode() for w in c], list(c.values())))
-                size += len(ids)
+            if b.num_rows:
+                held.append(b)
+                size += len(b.column(1).values)
                 if size >= HELD:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
-    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double, key string, words array<string>, times array<long>"
-    found = cut(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(documents)).mapInArrow(run, schema))
+    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double, key string"
+    found = prepared.select("doc_id", "symbols", "n_known", "base_score", "score", "key").mapInArrow(run, schema)
     unit = v.total + 0.5 * (v.distinct + 1)
     mass = F.array(*[F.lit(float(x)) for x in v.tail_mass])
     once = F.array(*[F.lit(float(x)) for x in v.tail_once])
-    rare = found.where("key is not null").select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("w"), F.col("x.times").alias("n")).distinct()
+    one_of_each = prepared.where("key is not null").groupBy("key").agg(F.first("words").alias("words"), F.first("times").alias("times"))
+    rare = one_of_each.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("w"), F.col("x.times").alias("n"))
     k = F.coalesce(F.col("k"), (F.crc32(F.expr("substring(cast(w as binary), greatest(octet_length(w) - 1, 1), 2)")) % TAILS).cast("int"))
     c = F.coalesce("c", F.lit(0))
     at = lambda a: F.element_at(a, k + 1)
     sums = (
-        rare.join(counts, "w", "left").groupBy("key").agg(
+        rare.join(counts.hint("shuffle_hash"), "w", "left").groupBy("key").agg(
             F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"),
             F.sum(F.col("n") * F.log10((c + 0.5) / unit)).alias("more_base"),
             F.sum(F.col("n") * F.log10(F.when(c > 0, c).otherwise(at(once) + 1.0) / at(mass))).alias("more"),
         )
     )
-    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
-    joined = found.where("key is not null").join(sums, "key").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.col("more_known")).alias("n_known"), (F.col("base_score") + F.col("more_base")).alias("base_score"), (F.col("score") + F.col("more")).alias("score")
-    )
-    return found.where("key is null").select(*names).unionByName(joined)
+    add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
+    return found.join(sums, "key", "left").select("doc_id", "n_tokens", add("n_known", "more_known"), add("base_score", "more_base"), add("score", "more"))
 
 
 def fit_and_score(documents: DataFrame, training: Column) -> DataFrame:
@@ -489,4 +528,5 @@ def fit_and_score(documents: DataFrame, training: Column) -> DataFrame:
     own = documents.where(training)
     counts = cut(count_words(own))
     v = vocabulary(counts)
-    return score(documents, counts, v, train(own, v)).withColumn("train_tokens", F.lit(v.total).cast("long"))
+    prepared = prepare(documents, training, v)
+    return score(prepared, counts, v, train(own, prepared.where("training"), v)).withColumn("train_tokens", F.lit(v.total).cast("long"))
