@@ -32,7 +32,7 @@ COMMON = 5
 HOT = 64
 _SHINGLE = r"(?s)(?=(.{5}))"
 _BLANK = " \t\r\x0b\x0c"
-#: Rows of one long at most that are broadcast; larger sides are shuffled.
+#: Rows of one long at most that are broadcast (16 MB); larger sides are shuffled.
 SMALL = 1_000_000
 _LINES = 4294967296  # places of lines within a document
 
@@ -74,6 +74,15 @@ def _bands(s: str) -> Column:
     return F.when(c.isNull(), none).otherwise(parts)
 
 
+def _signed(rows: DataFrame) -> DataFrame:
+    """``rows`` with sketches of norm: s by words, dense at every character, one or both by the words' length."""
+    words = F.char_length("norm") - F.char_length(F.replace("norm", F.lit(" "))) + 1
+    low, high = LONG_WORDS
+    return rows.withColumn("per", F.char_length("norm") / words).select(
+        *rows.columns, F.when(F.col("per") <= high, _sketch(_shingles(_WORDWISE))).alias("s"), F.when(F.col("per") >= low, _sketch(_shingles(_DENSE))).alias("dense")
+    )
+
+
 def _place(doc_id: Column, line_no: Column) -> Column:
     """Order of lines: by doc_id, a null one last, then by number."""
     return (F.coalesce(doc_id, F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(_LINES).cast("decimal(10,0)") + line_no.cast("decimal(10,0)")).cast("decimal(32,0)")
@@ -186,27 +195,22 @@ def duplicates(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     shared_dir(spark)
     lines = lines_of(documents)
-    words = F.char_length("norm") - F.char_length(F.replace("norm", F.lit(" "))) + 1
-    low, high = LONG_WORDS
-    signed = (
-        lines.where("key is not null").select("key", _place(F.col("doc_id"), F.col("line_no")).alias("place"), "norm", (F.char_length("norm") / words).alias("per"))
-        .select("key", "place", "norm", F.when(F.col("per") <= high, _sketch(_shingles(_WORDWISE))).alias("s"), F.when(F.col("per") >= low, _sketch(_shingles(_DENSE))).alias("dense"))
-    )
     names = [f"t{i}" for i in range(2 * SKETCH - 2)]
+    full = lines.where("key is not null")
+    placed = full.select("key", _place(F.col("doc_id"), F.col("line_no")).alias("place"), "norm")
+    banded = _signed(placed).select("key", "place", F.concat(_bands("s"), _bands("dense")).alias("b"))
     # equal lines have equal bands: summed in each task before the shuffle, a hot line costs one row a task
-    banded = signed.select("key", "place", F.concat(_bands("s"), _bands("dense")).alias("b"))
-    keys = cut(banded.select("key", "place", *[F.get("b", F.lit(i)).alias(t) for i, t in enumerate(names)]).groupBy("key").agg(F.min("place").alias("place"), *[F.min(t).alias(t) for t in names]))
+    keys = stored(banded.select("key", "place", *[F.get("b", F.lit(i)).alias(t) for i, t in enumerate(names)]).groupBy("key").agg(F.min("place").alias("place"), *[F.min(t).alias(t) for t in names]), "line-keys")
     spread = keys.select(F.explode(F.array_compact(F.array_distinct(F.array(*names)))).alias("t"), "key")
     bands = cut(spread.withColumn("n", F.count("*").over(Window.partitionBy("t"))).where("n > 1").select("t", "key"))
-    members = cut(keys.select("key", "place").join(bands.select("key").distinct(), "key", "left_semi"))
-    wanted = _if_small(members, members.count())
-    texts = stored(signed.join(wanted, ["key", "place"], "left_semi").select("key", "s", "dense", "norm").dropDuplicates(["key"]), "lines")
+    members = cut(bands.select("key").distinct())
+    wanted = full.select("key", "norm").join(_if_small(members, members.count()), "key", "left_semi").groupBy("key").agg(F.min("norm").alias("norm"))
+    texts = stored(_signed(wanted).select("key", "s", "dense", "norm"), "line-texts")
     roots = cut(components(links(bands, texts)))
     linked = keys.select("key", "place").join(roots.withColumnRenamed("node", "key"), "key")
     first = linked.groupBy("root").agg(F.min("place").alias("first"))
     moved = cut(linked.join(first, "root").select("key", "first"))
-    small = _if_small(moved, moved.count())
-    of_key = keys.select("key", "place").join(small, "key", "left").select("key", F.coalesce("first", "place").alias("first"))
+    of_key = keys.select("key", "place").join(moved, "key", "left").select("key", F.coalesce("first", "place").alias("first"))
     own = _place(F.col("doc_id"), F.col("line_no"))
     every = lines.select("doc_id", "row", "line_no", "key", own.alias("place"))
     marked = every.where("key is not null").join(of_key, "key").unionByName(every.where("key is null").withColumn("first", F.col("place")))
