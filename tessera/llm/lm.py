@@ -516,6 +516,8 @@ def score(prepared: DataFrame, counts: DataFrame, v: Vocabulary, p: dict[str, np
         )
     )
     add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
+    # texts of known words alone have no key; by their ids they spread over all tasks
+    found = found.withColumn("key", F.coalesce("key", F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     return found.join(sums, "key", "left").select("doc_id", "n_tokens", add("n_known", "more_known"), add("base_score", "more_base"), add("score", "more"))
 
 
