@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A classifier learns from at most so many labelled rows and bytes of text, taken in the order of a hash of the id.
-SAMPLE_ROWS = 6000
-SAMPLE_BYTES = 32 << 20
+SAMPLE_ROWS = 5000
+SAMPLE_BYTES = 20 << 20
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray, list[str]]:
