@@ -32,11 +32,8 @@ COMMON = 5
 HOT = 64
 _SHINGLE = r"(?s)(?=(.{5}))"
 _BLANK = " \t\r\x0b\x0c"
-#: Rows of one long at most that are broadcast; larger sides are shuffled.
-SMALL = 200_000
-#: Bits of the map of wanted keys that goes to all tasks (1 MB, whatever the number of keys): most lines that nobody
-#: wants are left out before a shuffle.
-MAP_BITS = 1 << 23
+#: Rows of one long at most that are broadcast (16 MB); larger sides are shuffled.
+SMALL = 1_000_000
 _LINES = 4294967296  # places of lines within a document
 
 
@@ -44,15 +41,6 @@ def _if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df
 
 
-def _likely_in(df: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key is among ``keys``, and some others that share a bit of the map."""
-    place = F.expr(f"cast(pmod(key, {MAP_BITS}) as int) + 1")
-    bits = keys.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
-    at = df.withColumn("_p", place).withColumn("_i", F.bitmap_bit_position("_p").cast("int"))
-    found = at.join(F.broadcast(bits), F.bitmap_bucket_number("_p") == F.col("_k"))
-    return found.where("(shiftright(cast(conv(hex(substring(_bits, _i div 8 + 1, 1)), 16, 10) as int), _i % 8) & 1) = 1").select(*df.columns)
-
-
 def lines_of(documents: DataFrame) -> DataFrame:
     """(doc_id, row, line_no, norm, key) of every line; ``row`` tells rows that share an id apart, key is null for blank lines."""
     text = documents["text"].cast("string")
@@ -122,9 +110,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     side = lambda k, n: sketches.select(F.col("key").alias(k), F.col("s").alias(f"s{n}"), F.col("dense").alias(f"d{n}"))
     paired = pairs.join(side("u", 0), "u").join(side("v", 1), "v")
     likely = cut(paired.where(F.coalesce(_worth(F.col("s0"), F.col("s1")), F.lit(False)) | F.coalesce(_worth(F.col("d0"), F.col("d1")), F.lit(False))).select("u", "v"))
-    if likely.isEmpty():
+    number = likely.count()
+    if not number:
         return likely
-    needed = _likely_in(texts.select("key", "norm"), likely.select(F.explode(F.array("u", "v")).alias("key")))
+    needed = texts.select("key", "norm").join(_if_small(likely.select(F.explode(F.array("u", "v")).alias("key")).distinct(), 2 * number), "key", "left_semi")
     return cut(
         likely.join(needed.select(F.col("key").alias("u"), F.col("norm").alias("a")), "u").join(needed.select(F.col("key").alias("v"), F.col("norm").alias("b")), "v")
         .where(jaccard_at_least(F.col("a"), F.col("b"))).select("u", "v")
@@ -138,7 +127,7 @@ def links(bands: DataFrame, texts: DataFrame) -> DataFrame:
     (key, s, dense, norm): sketches and texts. In each round some members of a
     band lead: those found similar that haven't led yet or, where there are
     none, new seeds. They are verified against all members that nobody was
-    found similar to so far; their number grows from one to all, so a cluster of near
+    found similar to so far; their number grows from one to HOT to all, so a cluster of near
     copies takes a round or two and about a pair for each member, and unlike lines are compared
     completely. A band of over HOT members that aren't all like its first
     one holds lines that share a passage, not the rest. Its first member and the first
@@ -166,7 +155,7 @@ def links(bands: DataFrame, texts: DataFrame) -> DataFrame:
             state = state.where("not hot").select("t", "key", "last", "st")
             if state.isEmpty():
                 break
-            most = min(8 * most, 1 << 20)
+            most = min(HOT * most, 1 << 20)
         if anew.isEmpty():
             return reduce(DataFrame.unionByName, found)
         level = _banded_anew(anew, wordwise)
@@ -215,7 +204,7 @@ def duplicates(documents: DataFrame) -> DataFrame:
     spread = keys.select(F.explode(F.array_compact(F.array_distinct(F.array(*names)))).alias("t"), "key")
     bands = cut(spread.withColumn("n", F.count("*").over(Window.partitionBy("t"))).where("n > 1").select("t", "key"))
     members = cut(bands.select("key").distinct())
-    wanted = _likely_in(full.select("key", "norm"), members).join(members, "key", "left_semi").groupBy("key").agg(F.min("norm").alias("norm"))
+    wanted = full.select("key", "norm").join(_if_small(members, members.count()), "key", "left_semi").groupBy("key").agg(F.min("norm").alias("norm"))
     texts = stored(_signed(wanted).select("key", "s", "dense", "norm"), "line-texts")
     roots = cut(components(links(bands, texts)))
     linked = keys.select("key", "place").join(roots.withColumnRenamed("node", "key"), "key")
