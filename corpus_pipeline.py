@@ -27,8 +27,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document of the smallest id stays; rows without an id have no class and stay."""
-    found = simhash.near_duplicates(docs)
+    """Of each component of documents similar by 0.8 or more in five-word shingles that of the smallest id stays; rows without an id stay."""
+    found = simhash.similar_documents(docs)
     gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
     return docs.join(_side(docs, gone), docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
 

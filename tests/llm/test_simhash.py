@@ -91,3 +91,40 @@ def test_odd_rows(spark):
     got = sorted((x.doc_id or 0, x.component_id or 0) for x in simhash.near_duplicates(df).collect())
     assert got == [(0, 0), (0, 1), (1, 1), (1, 1)]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_similar_documents_against_exact_jaccard(spark):
+    """Planted copies at five-word similarities of 0.8 to 0.95, chains, a hot group of copies, short and empty texts."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    base = [[word() for _ in range(200)] for _ in range(60)]
+    texts = list(base)
+    for b in base:
+        for edits in (1, 2, 3, 4, 5):
+            w = list(b)
+            for k in r.sample(range(0, 200, 6), edits):
+                w[k] = word()
+            texts.append(w)
+    for _ in range(150):
+        w = list(base[0])
+        for k in r.sample(range(0, 200, 6), r.randint(1, 3)):
+            w[k] = word()
+        texts.append(w)
+    texts = [" ".join(w) for w in texts] + ["", None, " ", "one two", "One  TWO", "one two three"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(df).collect()}
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    pairs = [(a, b, len(x & y) / max(1, len(x | y)) if x | y else 1.0) for a, x in enumerate(sets) for b, y in enumerate(sets[:a])]
+    want = classes(len(texts), [p[:2] for p in pairs if p[2] >= 0.8])
+    assert got.keys() == set(range(len(texts)))
+    assert all(got[a] != got[b] for a in range(len(texts)) for b in range(a) if want[a] != want[b])
+    near = [(a, b) for a, b, j in pairs if 0.8 <= j < 0.95]
+    assert len(near) > 300 and sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near)
+    odd = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, "q r s t u v w")], "doc_id long, text string")
+    assert sorted((x.doc_id or 0, x.component_id or 0) for x in simhash.similar_documents(odd).collect()) == [(0, 0), (0, 1), (1, 1), (1, 1)]
+    assert simhash.similar_documents(odd.limit(0)).count() == 0
