@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash, in DataFrame and SQL functions only.
 
-A line is compared without outer white space. Its signature is
+A line is compared in lower case, without outer white space of any script. Its signature is
 the bottom of a MinHash ordering: character shingles that begin where a
 word does are hashed, the smallest SKETCH distinct hashes are kept in order,
 and each two neighbours of them make a band. Lines that share a band are candidates; of
@@ -31,7 +31,8 @@ COMMON = 5
 #: A band of more lines that aren't all like its first one is split by leaving out what its lines have in common.
 HOT = 64
 _SHINGLE = r"(?s)(?=(.{5}))"
-_BLANK = " \t\r\x0b\x0c"
+#: White space of Unicode, the separators of ASCII included; a line feed ends a line.
+_BLANK = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Rows of one long at most that are broadcast (16 MB); larger sides are shuffled.
 SMALL = 1_000_000
 _LINES = 4294967296  # places of lines within a document
@@ -44,7 +45,7 @@ def _if_small(df: DataFrame, rows: int) -> DataFrame:
 def lines_of(documents: DataFrame) -> DataFrame:
     """(doc_id, row, line_no, norm, key) of every line; ``row`` tells rows that share an id apart, key is null for blank lines."""
     text = documents["text"].cast("string")
-    norm = F.btrim("line", F.lit(_BLANK))
+    norm = F.lower(F.btrim("line", F.lit(_BLANK)))
     return (
         documents.select(documents["doc_id"].cast("long").alias("doc_id"), F.xxhash64(documents["doc_id"].cast("long"), text).alias("row"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
         .select("doc_id", "row", "line_no", norm.alias("norm"))

@@ -88,3 +88,11 @@ def test_rebuilt_documents_and_odd_rows(spark):
     ])
     assert lines.deduplicate(df.where("doc_id = 4")).collect()[0].text is None
     assert lines.deduplicate(df.limit(0)).count() == 0 and lines.deduplicate(df).columns == df.columns
+
+
+def test_case_and_unicode_white_space(spark):
+    long = "the quick brown fox jumps over the lazy dog " * 3
+    rows = [(1, f"{long}\nfirst"), (2, f"{long.upper()}\nsecond"), (3, f"\u3000{long.title()}\u00a0\u2003\nthird"), (4, "\u00a0\u3000"), (5, "Q" * 500), (6, "q" * 500), (7, "\u00c9T\u00c9 " * 30), (8, "\u00e9t\u00e9 " * 30)]
+    got = marks(lines.duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i, 0] for i in (1, 2, 3)] == [((1, 0), True), ((1, 0), False), ((1, 0), False)]
+    assert got[4, 0] == ((4, 0), True) and got[6, 0] == ((5, 0), False) and got[8, 0] == ((7, 0), False)
