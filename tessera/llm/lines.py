@@ -11,12 +11,10 @@ first line stays.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, shared_dir, stored
+from .common import components, cut, links_in_bands, shared_dir, stored
 
 #: Hashes of a signature; SKETCH - 1 bands. A pair at the threshold shares a band with a probability of 0.985.
 SKETCH = 12
@@ -28,8 +26,6 @@ LONG_WORDS = (12, 20)
 #: Candidates whose sketches share fewer hashes aren't verified (a pair at the threshold shares about eight of twelve;
 #: fewer than five with a probability of 0.02); of sketches that aren't full a third must be shared.
 COMMON = 5
-#: A band of more lines that aren't all like its first one is split by leaving out what its lines have in common.
-HOT = 64
 _SHINGLE = r"(?s)(?=(.{5}))"
 #: White space of Unicode, the separators of ASCII included; a line feed ends a line.
 _BLANK = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -125,63 +121,10 @@ def links(bands: DataFrame, texts: DataFrame) -> DataFrame:
     """Linked pairs (u, v) of keys that hold every band's similar lines together.
 
     ``bands`` (t, key): members of bands of two or more lines; ``texts``
-    (key, s, dense, norm): sketches and texts. In each round some members of a
-    band lead: those found similar that haven't led yet or, where there are
-    none, new seeds. They are verified against all members that nobody was
-    found similar to so far; their number grows from one to HOT to all, so a cluster of near
-    copies takes a round or two and about a pair for each member, and unlike lines are compared
-    completely. A band of over HOT members that aren't all like its first
-    one holds lines that share a passage, not the rest. Its first member and the first
-    unlike it give the shingles in common; all its members are banded anew without these, and so on until no
-    such band is left. Members with nothing else stay together, whatever their number.
+    (key, s, dense, norm): sketches and texts. A band of any size is used up
+    in rounds of leaders: near copies cost about a pair each, unlike lines are compared completely.
     """
-    found, level = [], bands.select("t", "key", F.lit(False).alias("last"))
-    in_band = Window.partitionBy("t")
-    wordwise = cut(texts.select("key", F.coalesce(_shingles(_WORDWISE), F.array().cast("array<bigint>")).alias("h")).join(_crowded(bands), "key", "left_semi"))
-    while True:
-        state, most, anew = level.withColumn("st", F.lit(0)), 1, None  # st 0: nobody similar yet, 1: found similar, 2: has led
-        while True:
-            turn = state.withColumn("able", F.col("st") == F.max(F.when(F.col("st") < 2, F.col("st"))).over(in_band))
-            turn = cut(turn.withColumn("lead", F.col("able") & (F.row_number().over(in_band.orderBy(F.desc("able"), "key")) <= most)).select("t", "key", "last", "st", "lead"))
-            met = turn.where("lead").select("t", F.col("key").alias("x")).join(turn.where("st = 0").select("t", F.col("key").alias("y")), "t").where("x <> y")
-            met = cut(met.select("t", "y", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
-            near = _verified(met.select("u", "v").distinct(), texts)
-            found.append(near)
-            hit = met.join(near, ["u", "v"]).select("t", F.col("y").alias("key")).distinct().withColumn("hit", F.lit(True))
-            now = F.when(F.col("lead"), 2).when(F.col("hit"), 1).otherwise(F.col("st"))
-            left = turn.join(hit, ["t", "key"], "left").select("t", "key", "last", now.alias("st")).withColumn("open", F.min("st").over(in_band)).withColumn("n", F.count("*").over(in_band)).where("open = 0")
-            state = cut(left.select("t", "key", "last", "st", ((F.col("n") > HOT) & ~F.col("last")).alias("hot")))
-            if most == 1:
-                anew = state.where("hot").select("t", "key", "st")
-            state = state.where("not hot").select("t", "key", "last", "st")
-            if state.isEmpty():
-                break
-            most = min(HOT * most, 1 << 20)
-        if anew.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        level = _banded_anew(anew, wordwise)
-        wordwise, level = level
-
-
-def _crowded(bands: DataFrame) -> DataFrame:
-    """Keys of bands of over HOT members."""
-    return bands.withColumn("n", F.count("*").over(Window.partitionBy("t"))).where(F.col("n") > HOT).select("key").distinct()
-
-
-def _banded_anew(members: DataFrame, shingles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Shingles (key, h) of the members (t, key, st) without what their bands have in common, and the bands (t, key, last) that follow."""
-    pairs = members.groupBy("t").agg(F.min(F.when(F.col("st") == 2, F.col("key"))).alias("a"), F.min(F.when(F.col("st") == 0, F.col("key"))).alias("b")).select("a", "b").distinct()
-    side = lambda k: shingles.select(F.col("key").alias(k), F.col("h").alias(f"h{k}"))
-    common = cut(pairs.join(side("a"), "a").join(side("b"), "b").select(F.explode(F.array_intersect("ha", "hb")).alias("x")).distinct())
-    keys = members.select("key").distinct()
-    each = shingles.join(keys, "key", "left_semi").select("key", F.explode_outer("h").alias("x"))
-    kept = each.join(_if_small(common.withColumn("stop", F.lit(True)), common.count()), "x", "left").groupBy("key").agg(F.collect_set(F.when(F.col("stop").isNull(), F.col("x"))).alias("h"))
-    rest = cut(kept)
-    banded = rest.select("key", _sketch(F.col("h")).alias("s")).select("key", F.explode(_bands("s")).alias("t")).select("t", "key", F.lit(False).alias("last"))
-    # what has no shingle left stays in the bands it had, which are then compared to the end
-    bare = members.select("t", "key").join(rest.where(F.size("h") == 0).select("key"), "key", "left_semi").select("t", "key", F.lit(True).alias("last"))
-    every = banded.unionByName(bare).withColumn("n", F.count("*").over(Window.partitionBy("t", "last"))).where("n > 1").select("t", "key", "last")
-    return rest, cut(every)
+    return links_in_bands(bands, lambda pairs: _verified(pairs, texts))
 
 
 def duplicates(documents: DataFrame) -> DataFrame:

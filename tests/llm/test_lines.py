@@ -96,3 +96,20 @@ def test_case_and_unicode_white_space(spark):
     got = marks(lines.duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
     assert [got[i, 0] for i in (1, 2, 3)] == [((1, 0), True), ((1, 0), False), ((1, 0), False)]
     assert got[4, 0] == ((4, 0), True) and got[6, 0] == ((5, 0), False) and got[8, 0] == ((7, 0), False)
+
+
+def test_links_inside_large_mixed_bands(spark):
+    """Near copies of a passage, and dense lines alike after their first characters, among over 64 lines that share part of it."""
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefghilmnoprstu") for _ in range(n))
+    passage, dense = " ".join(word(6) for _ in range(30)), word(9)
+    texts = [(k, f"{passage} {' '.join(word(6) for _ in range(20))}") for k in range(40)]
+    texts += [(40, passage), (41, f"{passage} own"), (42, f"few {passage}")]
+    texts += [(k, f"{passage} {' '.join(word(6) for _ in range(20))}") for k in range(43, 75)]
+    tail = word(80)
+    texts += [(k, dense + (tail[:-1] + "z" if k == 140 else tail if k == 150 else word(80))) for k in range(100, 170)]
+    bands = spark.createDataFrame([(int(k >= 100), k) for k, _ in texts], "t long, key long")
+    df = lines._signed(spark.createDataFrame(texts, "key long, norm string")).select("key", "s", "dense", "norm")
+    found = {(x.u, x.v) for x in lines.links(bands, df).collect()}
+    assert all(similar(dict(texts)[u], dict(texts)[v]) for u, v in found)
+    assert {x for p in found for x in p} == {40, 41, 42, 140, 150} and len({(40, 41), (40, 42), (41, 42)} & found) >= 2
