@@ -7,15 +7,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A classifier learns from at most so many labelled rows and bytes of text, taken in the order of a hash of the id.
-SAMPLE_ROWS = 5000
-SAMPLE_BYTES = 20 << 20
+SAMPLE_ROWS = 6000
+SAMPLE_BYTES = 32 << 20
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray, list[str]]:
     """Whole texts, 0/1 labels and languages of a bounded sample of labelled rows.
 
     ``allowed`` is a condition on doc_id of the labels. Rows whose id or label
-    is null are left out; of labels repeated for an id the largest counts. The
+    is null are left out, texts that no longer fit are passed over; of labels repeated for an id the largest counts. The
     ids are drawn from the labels alone, so that documents are read once and
     only the drawn rows' texts move.
     """
@@ -29,9 +29,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, allowed
     joined = docs.join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.octet_length("text"), "text")
     texts, y, langs, size = [], [], [], 0
     for r in joined.select("text", "y", "lang").toLocalIterator():
-        t = (r.text or "").encode()
-        if len(texts) >= rows or size + len(t) > most:
+        if len(texts) >= rows:
             break
+        t = (r.text or "").encode()
+        if size + len(t) > most:
+            continue
         texts.append(t)
         y.append(r.y)
         langs.append(r.lang or "")

@@ -79,3 +79,10 @@ def test_sample_is_bounded_and_calibration_orders(spark, corpus):
     assert sum(map(len, learn.labelled_sample(docs, labels, "toxic", F.lit(True), most=5000)[0])) <= 5000
     a, b = learn.platt(np.array([-3.0, -2, -1, 1, 2, 3]), np.array([0, 0, 0, 1, 1, 1]))
     assert a > 0 and learn.sigmoid(a * 3 + b) > 0.7 > learn.sigmoid(a * -3 + b)
+
+
+def test_sample_passes_over_texts_that_do_not_fit(spark):
+    docs = spark.createDataFrame([(i, "x" * (50_000 if i < 4 else 10), "en") for i in range(40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    texts, y, langs = learn.labelled_sample(docs, labels, "toxic", F.lit(True), most=1000)
+    assert len(texts) == len(y) == len(langs) == 36 and {len(t) for t in texts} == {10}
