@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -22,8 +24,16 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows, strings, text_of
 
-#: Entries of the caches of pieces and of token pairs in a Python worker.
-CACHE = 400_000
+#: Bytes of each of a Python worker's caches, of words, of pieces and of token pairs, by an estimate of their entries.
+CACHE_BYTES = 40 << 20
+#: Longer pieces and words aren't kept.
+KEPT = 64
+#: Fixed value: the pattern whose pieces hold a space at their start or among white space alone, so that a
+#: space between two other characters always begins a piece, whatever stands around it.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+_NEVER = 1 << 60
 
 
 class Vocabulary:
@@ -32,39 +42,94 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes_of = ranks, {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._own: dict[int, bool] = {}
+        self._tree: dict[int, tuple[int, int] | None] = {}
+        self._pairs: dict[int, bool] = {}
+        self._left: dict[int, list[tuple[int, bytes, int]]] = {}
+        self._right: dict[int, list[tuple[int, bytes, int]]] = {}
+        self._ordered = True
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, f))})
 
-    def merged(self, data: bytes) -> list[int]:
-        """The definition: merge the adjacent pair of lowest rank, leftmost first, until none is left. For short data."""
+    def _merges(self, data: bytes) -> Iterator[list[bytes]]:
+        """The parts of ``data`` before the first merge and after each one: always the adjacent pair of lowest rank, leftmost first."""
+        get, never = self.ranks.get, _NEVER
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        joint = [get(x + y, never) for x, y in zip(parts, parts[1:])]
+        yield parts
+        while joint and (rank := min(joint)) < never:
+            i = joint.index(rank)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joint[i]
+            if i:
+                joint[i - 1] = get(parts[i - 1] + parts[i], never)
+            if i < len(joint):
+                joint[i] = get(parts[i] + parts[i + 1], never)
+            yield parts
+
+    def merged(self, data: bytes) -> list[int]:
+        """The definition: merge until no pair of neighbours has a rank. For short data."""
+        *_, parts = self._merges(data)
         return [self.ranks[p] for p in parts]
 
+    def tree(self, t: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes ``t`` from its bytes, (-1, -1) for a single byte; None if its bytes encode to others."""
+        if t not in self._tree:
+            data, found = self.bytes_of[t], None
+            for parts in self._merges(data):
+                if len(parts) == 2:
+                    found = tuple(map(self.ranks.__getitem__, parts))
+            if len(parts) > 1:
+                found = None
+            elif len(data) == 1:
+                found = (-1, -1)
+            else:
+                self._ordered &= max(found) < t
+            self._tree[t] = found
+        return self._tree[t]
+
     def own(self, t: int) -> bool:
         """Whether token ``t`` is the encoding of its own bytes."""
-        found = self._own.get(t)
+        return self.tree(t) is not None
+
+    def edge(self, t: int, right: bool) -> list[tuple[int, bytes, int]]:
+        """The tokens that stood at an edge of ``t`` while it was merged, the last first: (token, its bytes, the merge that used it up)."""
+        edges = self._right if right else self._left
+        found = edges.get(t)
         if found is None:
-            found = self._own[t] = self.merged(self.bytes_of[t]) == [t]
+            found, x, until = [], t, _NEVER
+            while x >= 0:
+                found.append((x, self.bytes_of[x], until))
+                until, x = x, self.tree(x)[right]
+            edges[t] = found
         return found
 
     def pair(self, a: int, b: int) -> bool:
-        """Whether ``a`` then ``b`` is the encoding of their joint bytes."""
-        found = self._pairs.get((a, b))
-        if found is None:
-            if len(self._pairs) >= CACHE:
-                self._pairs.clear()
-            found = self._pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return found
+        """Whether ``a`` then ``b``, each its own encoding, is the encoding of their joint bytes.
+
+        Merges come in the order of ranks. Going back in time from the two
+        tokens, the one merged last is undone, along the edge at which they meet;
+        if at any time the two that meet could merge before either was used
+        up, the encoding differs. Of equal ranks the left merge comes first.
+        """
+        get, i, j = self.ranks.get, 0, 0
+        xs, ys = self.edge(a, True), self.edge(b, False)
+        if not self._ordered:  # a token ranked before its parts: merges needn't come in the order of ranks
+            return self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        x_ends, y_ends = len(xs) - 1, len(ys) - 1
+        while True:
+            (x, x_bytes, x_until), (y, y_bytes, y_until) = xs[i], ys[j]
+            m = get(x_bytes + y_bytes)
+            if m is not None and m < x_until and m <= y_until:
+                return False
+            if i < x_ends and (x > y or j == y_ends):
+                i += 1
+            elif j < y_ends:
+                j += 1
+            else:
+                return True
 
 
 class Prefixes:
@@ -89,13 +154,17 @@ class Prefixes:
                 t = get(data[begin:i])
                 if t is None:
                     continue
-                if begin == 0:
-                    if v.own(t):
-                        break
-                else:
-                    ok = pairs.get((last[begin], t))
-                    if ok or ok is None and v.own(t) and v.pair(last[begin], t):
+                if begin:
+                    key = last[begin] << 32 | t
+                    ok = pairs.get(key)
+                    if ok is None:
+                        if len(pairs) * 140 >= CACHE_BYTES:
+                            pairs.clear()
+                        ok = pairs[key] = v.own(t) and v.pair(last[begin], t)
+                    if ok:
                         break
+                elif v.own(t):
+                    break
             else:
                 raise ValueError("the ranks lack a single byte")
             last.append(t)
@@ -127,25 +196,55 @@ class Prefixes:
         return out[::-1]
 
 
-class Encoder(dict):
-    """piece -> ids, filled on demand and emptied when large; a piece that is a token itself is that token."""
+class Bounded(dict):
+    """key -> value of ``make``, kept for short keys and emptied when CACHE_BYTES are full."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
+    def __init__(self, make: Callable[[str], tuple[int, ...] | None]):
         super().__init__()
-        self.v, self.find = vocabulary, regex.compile(pattern).findall
+        self.make, self.held = make, 0
+
+    def __missing__(self, key: str) -> tuple[int, ...] | None:
+        value = self.make(key)
+        if len(key) <= KEPT:
+            self.held += 180 + 2 * len(key) + 8 * len(value or ())
+            if self.held > CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            self[key] = value
+        return value
+
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+class Encoder:
+    """Texts to ids. Each match of the pattern is encoded by itself; words with the space before them are
+    looked up whole where the pattern allows it."""
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
+        self.v, self.find, self.spaced = vocabulary, regex.compile(pattern).findall, pattern == SPACED
+        self.pieces, self.words = Bounded(self._piece), Bounded(self._word)
+        self.split = re.compile(r"(?<=\S) (?=\S)").split
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """A piece that is a token itself is that token."""
         data = piece.encode()
         t = self.v.ranks.get(data)
-        ids = (t,) if t is not None else tuple(Prefixes(self.v, data).ids())
-        if len(self) >= CACHE:
-            self.clear()
-        if len(data) <= 64:
-            self[piece] = ids
-        return ids
+        return (t,) if t is not None else tuple(Prefixes(self.v, data).ids())
+
+    def _whole(self, text: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
+
+    def _word(self, word: str) -> tuple[int, ...] | None:
+        """Of what follows a space; None if white space meets that space."""
+        return None if not word or word[0].isspace() or word[-1].isspace() else self._whole(" " + word)
 
     def encode(self, text: str) -> array:
-        return array("I", chain.from_iterable(map(self.__getitem__, self.find(text))))
+        if not self.spaced:
+            return array("I", self._whole(text))
+        first, *rest = text.split(" ")
+        found = list(map(self.words.__getitem__, rest))
+        if None in found or first[-1:].isspace() or rest and not first:
+            first, *rest = self.split(text)
+            found = [self._whole(" " + w) if self.words[w] is None else self.words[w] for w in rest]
+        return array("I", chain(self._whole(first), chain.from_iterable(found)))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.v.bytes_of.__getitem__, ids))
