@@ -3,18 +3,23 @@
 A line is compared in lower case, without outer white space of any script. Its signature is
 the bottom of a MinHash ordering: character shingles that begin where a
 word does are hashed, the smallest SKETCH distinct hashes are kept in order,
-and each two neighbours of them make a band. Lines that share a band are candidates; of
-these, pairs whose sets of five-character shingles have an exact Jaccard
-similarity of 0.8 or more are linked, and of each component of links the
-first line stays.
+and each two neighbours of them make a band. Lines that share a band, and a third
+of their signatures, are candidates; of these, pairs whose sets of five-character
+shingles have an exact Jaccard similarity of 0.8 or more are linked, and of
+each component of links the first line stays.
+
+The smallest key of a band leads it: every member meets the leader. Members
+that aren't linked with it meet one another, in small bands as pairs, in
+crowded ones (of any size) where they share a rare shingle: similar lines have one of
+their fifth of rarest shingles in common.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, links_in_bands, shared_dir, stored
+from .common import components, cut, free_name, shared_dir, stored
 
 #: Hashes of a signature; SKETCH - 1 bands. A pair at the threshold shares a band with a probability of 0.985.
 SKETCH = 12
@@ -23,61 +28,89 @@ CHARS = 5
 #: the two numbers of characters a word have both signatures, so that similar lines always have one in common.
 _WORDWISE, _DENSE = r"(?s) (?=(\S.{0,8}))", r"(?s)(?=(.{9}))"
 LONG_WORDS = (12, 20)
-#: Candidates whose sketches share fewer hashes aren't verified (a pair at the threshold shares about eight of twelve;
-#: fewer than five with a probability of 0.02); of sketches that aren't full a third must be shared.
-COMMON = 5
 _SHINGLE = r"(?s)(?=(.{5}))"
 #: White space of Unicode, the separators of ASCII included; a line feed ends a line.
 _BLANK = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Rows of one long at most that are broadcast (16 MB); larger sides are shuffled.
 SMALL = 1_000_000
+#: Members that a band may have beside its leader before its pairs are found by rare shingles, and the count from which a shingle isn't rare.
+CROWD, COMMON = 16, 8
+#: Bits of the first hash that tells lines apart; a second one of 64 bits finds lines that share it.
+KEY_BITS = 64
 _LINES = 4294967296  # places of lines within a document
+_WORD_COLUMNS, _DENSE_COLUMNS = [f"w{i}" for i in range(SKETCH // 2)], [f"d{i}" for i in range(SKETCH // 2)]
 
 
 def _if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df
 
 
-def lines_of(documents: DataFrame) -> DataFrame:
-    """(doc_id, row, line_no, norm, key) of every line; ``row`` tells rows that share an id apart, key is null for blank lines."""
+def lines_of(documents: DataFrame, clash: DataFrame | None = None) -> DataFrame:
+    """(doc_id, row, line_no, norm, key, check) of every line; ``row`` tells rows that share an id apart, key is null for blank lines.
+
+    ``clash`` holds the keys that different lines share; these get another key from both hashes.
+    """
     text = documents["text"].cast("string")
     norm = F.lower(F.btrim("line", F.lit(_BLANK)))
-    return (
+    key = F.xxhash64("norm") if KEY_BITS == 64 else F.xxhash64("norm").bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+    lines = (
         documents.select(documents["doc_id"].cast("long").alias("doc_id"), F.xxhash64(documents["doc_id"].cast("long"), text).alias("row"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
         .select("doc_id", "row", "line_no", norm.alias("norm"))
-        .withColumn("key", F.when(F.col("norm") != "", F.xxhash64("norm")))
+        .withColumn("key", F.when(F.col("norm") != "", key)).withColumn("check", F.xxhash64(F.lit(1), "norm"))
     )
+    if clash is not None:
+        lines = lines.join(clash.select("key", F.lit(True).alias("shared")), "key", "left")
+        lines = lines.withColumn("key", F.when(F.col("shared"), F.xxhash64("key", "check")).otherwise(F.col("key"))).drop("shared")
+    return lines
 
 
-def _shingles(pattern: str) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.concat(F.lit(" "), "norm"), F.lit(pattern), F.lit(1)), lambda x: F.xxhash64(x)))
+def _entries(pattern: str) -> Column:
+    """The smallest 32-bit hashes of the shingles of norm, in order."""
+    found = F.regexp_extract_all(F.concat(F.lit(" "), "norm"), F.lit(pattern), F.lit(1))
+    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda x: F.hash(x)))), 1, SKETCH)
 
 
-def _sketch(shingles: Column) -> Column:
-    """The smallest hashes of the line's shingles, in order."""
-    return F.slice(F.sort_array(shingles), 1, SKETCH)
+def _packed(entries: str, names: list[str]) -> list[Column]:
+    """Two entries a long; where the second is missing the first stands twice."""
+    at = lambda i: F.get(entries, F.lit(i))
+    low = lambda i: F.coalesce(at(i + 1), at(i)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    return [F.shiftleft(at(2 * k).cast("long"), 32).bitwiseOR(low(2 * k)).alias(n) for k, n in enumerate(names)]
 
 
-def _bands(s: str) -> Column:
-    """The bands of sketch ``s``, SKETCH - 1 at most: each two neighbours; in sketches of six or fewer hashes every other two as well, of three or fewer each alone."""
-    n, c = F.size(s), F.col(s)
-    none = F.array().cast("array<bigint>")
-    pairs = lambda step: F.transform(F.sequence(F.lit(0), n - 1 - step), lambda i: F.xxhash64(c[i], c[i + step]))
-    parts = F.concat(
-        F.when(n >= 2, pairs(1)).otherwise(none),
-        F.when((n >= 3) & (n <= 6), pairs(2)).otherwise(none),
-        F.when((n >= 1) & (n <= 3), F.transform(c, lambda x: F.xxhash64(F.lit("one"), x))).otherwise(none),
-    )
-    return F.when(c.isNull(), none).otherwise(parts)
+def _unpacked(names: list[str], of: str = "") -> list[Column]:
+    """The entries as columns, null where there are none."""
+    out = []
+    for n in names:
+        high, low = F.shiftright(F.col(of + n), 32).cast("int"), F.shiftright(F.shiftleft(F.col(of + n), 32), 32).cast("int")
+        out += [high, F.when(low != high, low)]
+    return out
 
 
-def _signed(rows: DataFrame) -> DataFrame:
-    """``rows`` with sketches of norm: s by words, dense at every character, one or both by the words' length."""
+def signed(rows: DataFrame) -> DataFrame:
+    """``rows`` with packed signatures of norm: by words, dense at every character, one or both by the words' length."""
     words = F.char_length("norm") - F.char_length(F.replace("norm", F.lit(" "))) + 1
     low, high = LONG_WORDS
-    return rows.withColumn("per", F.char_length("norm") / words).select(
-        *rows.columns, F.when(F.col("per") <= high, _sketch(_shingles(_WORDWISE))).alias("s"), F.when(F.col("per") >= low, _sketch(_shingles(_DENSE))).alias("dense")
-    )
+    made = rows.withColumn("per", F.char_length("norm") / words)
+    made = made.withColumns({"by_word": F.when(F.col("per") <= high, _entries(_WORDWISE)), "dense": F.when(F.col("per") >= low, _entries(_DENSE))})
+    return made.select(*rows.columns, *_packed("by_word", _WORD_COLUMNS), *_packed("dense", _DENSE_COLUMNS))
+
+
+def _bands(names: list[str]) -> list[Column]:
+    """Bands of a signature, null where there are none: each two neighbours; of six or fewer hashes every other two as well, of three or fewer each alone."""
+    e = _unpacked(names)
+    out = [F.when(e[i + 1].isNotNull(), F.xxhash64(e[i], e[i + 1])) for i in range(SKETCH - 1)]
+    out += [F.when(e[i + 2].isNotNull() & e[6].isNull(), F.xxhash64(e[i], e[i + 2])) for i in range(4)]
+    return out + [F.when(e[i].isNotNull() & e[3].isNull(), F.xxhash64(F.lit("one"), e[i])) for i in range(3)]
+
+
+def members_of(keys: DataFrame) -> DataFrame:
+    """(t, key, leader) of the members of bands of two or more lines, from packed signatures.
+
+    Leaders are partial aggregates, joined back on the band, whose skewed values adaptive execution splits.
+    """
+    spread = keys.select("key", F.explode(F.array(*_bands(_WORD_COLUMNS), *_bands(_DENSE_COLUMNS))).alias("t")).where("t is not null")
+    leaders = spread.groupBy("t").agg(F.min("key").alias("leader"), F.max("key").alias("other")).where("leader <> other").drop("other")
+    return spread.join(leaders, "t").select("t", "key", "leader").distinct()
 
 
 def _place(doc_id: Column, line_no: Column) -> Column:
@@ -85,46 +118,92 @@ def _place(doc_id: Column, line_no: Column) -> Column:
     return (F.coalesce(doc_id, F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(_LINES).cast("decimal(10,0)") + line_no.cast("decimal(10,0)")).cast("decimal(32,0)")
 
 
-def jaccard_at_least(a: Column, b: Column) -> Column:
-    """Whether the sets of five-character shingles are similar by 0.8 or more; a shorter line is one shingle. Shingles are told apart by 64-bit hashes."""
-    hashed = lambda x, pattern: F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), lambda y: F.xxhash64(y)))
-    shingles = lambda x: F.when(F.char_length(x) < CHARS, F.array(F.xxhash64(x))).otherwise(hashed(x, _SHINGLE))
-    words = lambda x: hashed(F.concat(F.lit(" "), x), _WORDWISE)
-    of = lambda f, test: F.element_at(F.transform(F.array(F.struct(f(a).alias("a"), f(b).alias("b"))), lambda s: test(F.size(F.array_intersect(s.a, s.b)), F.size(s.a), F.size(s.b))), 1)
-    # the fewer shingles at word starts come first: lines that share under three in ten of these can't share eight in ten of all
-    return F.when(of(words, lambda n, x, y: (F.least(x, y) < SKETCH) | (n * 13 >= (x + y) * 3)), of(shingles, lambda n, x, y: n * 9 >= (x + y) * 4)).otherwise(False)
-
-
-def _worth(a: Column, b: Column) -> Column:
-    """Whether sketches leave a similarity of 0.8 likely."""
-    least, both = F.least(F.size(a), F.size(b)), F.size(F.array_intersect(a, b))
-    return both >= F.when(least >= SKETCH, COMMON).otherwise(F.ceil(least / 3))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of distinct ``pairs`` (u, v), those that are similar."""
-    sketches = texts.select("key", "s", "dense")
-    side = lambda k, n: sketches.select(F.col("key").alias(k), F.col("s").alias(f"s{n}"), F.col("dense").alias(f"d{n}"))
-    paired = pairs.join(side("u", 0), "u").join(side("v", 1), "v")
-    likely = cut(paired.where(F.coalesce(_worth(F.col("s0"), F.col("s1")), F.lit(False)) | F.coalesce(_worth(F.col("d0"), F.col("d1")), F.lit(False))).select("u", "v"))
-    number = likely.count()
-    if not number:
-        return likely
-    needed = texts.select("key", "norm").join(_if_small(likely.select(F.explode(F.array("u", "v")).alias("key")).distinct(), 2 * number), "key", "left_semi")
-    return cut(
-        likely.join(needed.select(F.col("key").alias("u"), F.col("norm").alias("a")), "u").join(needed.select(F.col("key").alias("v"), F.col("norm").alias("b")), "v")
-        .where(jaccard_at_least(F.col("a"), F.col("b"))).select("u", "v")
-    )
+def shingles(x: Column) -> Column:
+    """The set of five-character shingles, told apart by 64-bit hashes; a shorter line is one shingle."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(_SHINGLE), F.lit(1)), lambda y: F.xxhash64(y)))
+    return F.when(F.char_length(x) < CHARS, F.array(F.xxhash64(x))).otherwise(found)
+
+
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of distinct ``pairs`` (u, v) those whose lines have an exact Jaccard similarity of 0.8 or more."""
+    side = lambda k, n: texts.select(F.col("key").alias(k), F.col("norm").alias(n))
+    both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
+    sets = both.select("u", "v", shingles(F.col("a")).alias("a"), shingles(F.col("b")).alias("b"))
+    return cut(sets.where(F.size(F.array_intersect("a", "b")) * 9 >= (F.size("a") + F.size("b")) * 4).select("u", "v"))
+
+
+def _likely(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of distinct ``pairs`` those that share a third of the smaller one of their signatures by words, or of the dense ones.
 
+    Of a pair at the threshold fewer than four of twelve are shared with a probability of under 0.005.
+    """
+    names = [*_WORD_COLUMNS, *_DENSE_COLUMNS]
+    side = lambda k, of: keys.select(F.col("key").alias(k), *[F.col(n).alias(of + n) for n in names])
+    met = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
+    worth = []
+    for own in (_WORD_COLUMNS, _DENSE_COLUMNS):
+        x, y = _unpacked(own, "x"), _unpacked(own, "y")
+        number = lambda e: sum((c.isNotNull().cast("int") for c in e[1:]), e[0].isNotNull().cast("int"))
+        shared = F.size(F.array_except(F.array_intersect(F.array(*x), F.array(*y)), F.array(F.lit(None).cast("int"))))
+        worth.append(F.coalesce(x[0].isNotNull() & y[0].isNotNull() & (shared * 3 >= F.least(number(x), number(y))), F.lit(False)))
+    return met.where(worth[0] | worth[1]).select("u", "v")
+
+
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("u"), F.greatest(x, y).alias("v")]
 
-def links(bands: DataFrame, texts: DataFrame) -> DataFrame:
-    """Linked pairs (u, v) of keys that hold every band's similar lines together.
 
-    ``bands`` (t, key): members of bands of two or more lines; ``texts``
-    (key, s, dense, norm): sketches and texts. A band of any size is used up
-    in rounds of leaders: near copies cost about a pair each, unlike lines are compared completely.
+def _rare_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of keys that share a band of ``crowd`` (t, key, root), not the root, and one of their rarest shingles.
+
+    Of sets that are similar by 0.8, the shingles taken in any one order, each has among its first fifth and one more
+    a shingle that the other has there too. The order is by count in the crowd, the rare ones first; any order gives all
+    pairs, a good one few others.
+    """
+    own = cut(crowd.select("key").distinct().join(texts, "key").select("key", F.explode(shingles(F.col("norm"))).alias("s")))
+    counts = own.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    ranked = own.join(counts, "s", "left").select("key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "s").alias("r"))
+    sets = ranked.groupBy("key").agg(F.sort_array(F.collect_list("r")).alias("r"))  # of one line each
+    size = F.size("r")
+    first = sets.select("key", size.alias("size"), F.explode(F.slice("r", 1, (size - F.ceil(size * 4 / F.lit(5)) + 1).cast("int"))["s"]).alias("s"))
+    dealt = cut(first.join(crowd, "key").select("t", "s", "key", "root", "size"))
+    x, y = (dealt.select("t", "s", *[F.col(c).alias(n + c) for c in ("key", "root", "size")]) for n in "xy")
+    met = x.join(y, ["t", "s"]).where("xkey < ykey and xroot <> yroot and least(xsize, ysize) * 5 >= greatest(xsize, ysize) * 4")
+    return met.select(F.col("xkey").alias("u"), F.col("ykey").alias("v")).distinct()
+
+
+def classes(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, root): the component of every linked key, root its smallest key.
+
+    ``members`` (t, key, leader) of bands, ``keys`` with packed signatures, ``texts`` (key, norm) of the members.
     """
-    return links_in_bands(bands, lambda pairs: _verified(pairs, texts))
+    beside = members.where("key <> leader")
+    led = similar(cut(_likely(beside.select(*_ordered("key", "leader")).distinct(), keys)), texts)
+    roots = cut(components(led).withColumnRenamed("node", "key"))
+    open_ = beside.select("t", "key").join(roots, "key", "left").select("t", "key", F.coalesce("root", "key").alias("root"))
+    mixed = open_.groupBy("t").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    left = cut(open_.join(mixed.select("t", "n"), "t"))
+    if left.isEmpty():
+        return roots
+    few = left.where(F.col("n") <= CROWD).select("t", "key", "root")
+    x, y = (few.select("t", F.col("key").alias(n), F.col("root").alias(n + "root")) for n in "xy")
+    pairs = _likely(x.join(y, "t").where("x < y and xroot <> yroot").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), keys)
+    crowd = left.where(F.col("n") > CROWD).select("t", "key", "root")
+    if not crowd.isEmpty():
+        pairs = pairs.unionByName(_rare_pairs(crowd, texts)).distinct()
+    found = similar(cut(pairs), texts)
+    named = lambda k: found.join(roots.select(F.col("key").alias(k), F.col("root").alias(k + "root")), k, "left").withColumn(k, F.coalesce(k + "root", k))
+    found = named("u").select("u", "v")
+    upper = cut(components(named("v").select("u", "v")).withColumnRenamed("root", "top"))
+    every = roots.unionByName(upper.select(F.col("node").alias("key"), F.col("node").alias("root"))).distinct()
+    return every.join(upper, F.col("root") == F.col("node"), "left").groupBy("key").agg(F.min(F.coalesce("top", "root")).alias("root"))
+
+
+def _keys(lines: DataFrame) -> DataFrame:
+    """(key, place, least, most, signature) of every distinct line; equal lines are summed in each task before the shuffle, so a hot line costs one row a task."""
+    placed = lines.where("key is not null").select("key", "check", _place(F.col("doc_id"), F.col("line_no")).alias("place"), "norm")
+    names = [*_WORD_COLUMNS, *_DENSE_COLUMNS]
+    return signed(placed).groupBy("key").agg(F.min("place").alias("place"), F.min("check").alias("least"), F.max("check").alias("most"), *[F.min(n).alias(n) for n in names])
 
 
 def duplicates(documents: DataFrame) -> DataFrame:
@@ -133,25 +212,23 @@ def duplicates(documents: DataFrame) -> DataFrame:
     The class is named by its first line, by doc_id, then number, which alone
     is kept. Blank lines are their own class and stay. Null texts have no
     lines, an empty one a blank line; rows that repeat a doc_id and text are
-    one document, whose lines are kept or not together; null ids come last.
-    Lines are told apart by 64-bit hashes of their normal form; links are verified on texts.
+    one document, whose lines are kept or not together; null ids come last; an empty table has no lines.
+    Other columns aren't read. Lines are told apart by two 64-bit hashes of their normal form; links are verified on texts.
     """
-    spark = documents.sparkSession
-    shared_dir(spark)
+    shared_dir(documents.sparkSession)
     lines = lines_of(documents)
-    names = [f"t{i}" for i in range(2 * SKETCH - 2)]
+    keys = stored(_keys(lines), "line-keys")
+    clash = keys.where("least <> most").select("key")
+    if not clash.isEmpty():
+        lines = lines_of(documents, clash)
+        keys = stored(_keys(lines), "line-keys")
     full = lines.where("key is not null")
-    placed = full.select("key", _place(F.col("doc_id"), F.col("line_no")).alias("place"), "norm")
-    banded = _signed(placed).select("key", "place", F.concat(_bands("s"), _bands("dense")).alias("b"))
-    # equal lines have equal bands: summed in each task before the shuffle, a hot line costs one row a task
-    keys = stored(banded.select("key", "place", *[F.get("b", F.lit(i)).alias(t) for i, t in enumerate(names)]).groupBy("key").agg(F.min("place").alias("place"), *[F.min(t).alias(t) for t in names]), "line-keys")
-    spread = keys.select(F.explode(F.array_compact(F.array_distinct(F.array(*names)))).alias("t"), "key")
-    bands = cut(spread.withColumn("n", F.count("*").over(Window.partitionBy("t"))).where("n > 1").select("t", "key"))
-    members = cut(bands.select("key").distinct())
-    wanted = full.select("key", "norm").join(_if_small(members, members.count()), "key", "left_semi").groupBy("key").agg(F.min("norm").alias("norm"))
-    texts = stored(_signed(wanted).select("key", "s", "dense", "norm"), "line-texts")
-    roots = cut(components(links(bands, texts)))
-    linked = keys.select("key", "place").join(roots.withColumnRenamed("node", "key"), "key")
+    members = stored(members_of(keys), "line-bands")
+    wanted = cut(keys.join(members.select("key").distinct(), "key", "left_semi").select("key", F.col("place").alias("first")))
+    # of equal lines only the first one's text moves on
+    texts = full.select("key", _place(F.col("doc_id"), F.col("line_no")).alias("place"), "norm").join(_if_small(wanted, wanted.count()), "key").where("place = first").select("key", "norm")
+    roots = cut(classes(members, keys, stored(texts.distinct(), "line-texts")))
+    linked = keys.select("key", "place").join(roots, "key")
     first = linked.groupBy("root").agg(F.min("place").alias("first"))
     moved = cut(linked.join(first, "root").select("key", "first"))
     of_key = keys.select("key", "place").join(moved, "key", "left").select("key", F.coalesce("first", "place").alias("first"))
@@ -169,13 +246,17 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     """``documents`` with the kept lines alone; n_chars, where there is one, follows the text.
 
     Documents whose every line with text goes leave with them; those without such lines, null texts included, stay as they are.
+    All columns stay, whatever their names; an empty table stays empty.
     """
-    gone = duplicates(documents).where("not kept").groupBy(F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
+    row, gone, new, id_ = (free_name(documents, n) for n in ("row", "gone", "new", "id"))
+    removed = duplicates(documents).where("not kept").groupBy(F.col("doc_id").alias(id_), F.col("row").alias(row)).agg(F.collect_set("line_no").alias(gone))
     text = documents["text"].cast("string")
-    joined = documents.withColumn("_row", F.xxhash64(documents["doc_id"].cast("long"), text)).join(gone, "_row", "left")
-    rebuilt = F.transform(F.array(F.split("text", "\n")), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("_gone")), lambda i: p[i]), "\n"))[0]
-    out = joined.withColumn("_new", F.when(F.col("_gone").isNotNull(), rebuilt)).where(F.col("_gone").isNull() | (F.btrim("_new", F.lit(_BLANK + "\n")) != ""))
-    out = out.withColumn("text", F.coalesce("_new", "text"))
+    with_row = documents.withColumns({row: F.xxhash64(documents["doc_id"].cast("long"), text), id_: documents["doc_id"].cast("long")})
+    joined = with_row.alias("d").join(removed.alias("r"), (F.col(f"d.{row}") == F.col(f"r.{row}")) & F.col(f"d.{id_}").eqNullSafe(F.col(f"r.{id_}")), "left")
+    joined = joined.select(*[F.col(f"d.`{c}`") for c in documents.columns], F.col(f"r.{gone}"))
+    rebuilt = F.transform(F.array(F.split("text", "\n")), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col(gone)), lambda i: p[i]), "\n"))[0]
+    out = joined.withColumn(new, F.when(F.col(gone).isNotNull(), rebuilt)).where(F.col(gone).isNull() | (F.btrim(new, F.lit(_BLANK + "\n")) != ""))
+    out = out.withColumn("text", F.coalesce(new, "text"))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_new").isNotNull(), F.char_length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+        out = out.withColumn("n_chars", F.when(F.col(new).isNotNull(), F.char_length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -65,12 +65,20 @@ def test_classes_against_all_pairs(spark):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
+def components_of(spark, texts, band):
+    """Classes of (key, text) rows whose bands are given, as a partition of the linked keys."""
+    df = lines.signed(spark.createDataFrame(texts, "key long, norm string"))
+    rows = [(band(k), k, min(j for j, _ in texts if band(j) == band(k))) for k, _ in texts]
+    found = {}
+    for x in lines.classes(spark.createDataFrame(rows, "t long, key long, leader long"), df, df.select("key", "norm")).collect():
+        found.setdefault(x.root, set()).add(x.key)
+    return sorted(map(sorted, found.values()))
+
+
 def test_a_mixed_band_is_used_up(spark):
     """Members of one band that aren't like its leader are still compared with one another."""
     texts = [(1, "aaaaaaaaaaaaaaaaaaaa bbbb"), (2, "cccc dddd eeee ffff gggg hhhh"), (3, "cccc dddd eeee ffff gggg hhhi"), (4, "zzzz yyyy xxxx wwww vvvv uuuu"), (5, "zzzz yyyy xxxx wwww vvvv uuut")]
-    bands = spark.createDataFrame([(7, k) for k, _ in texts], "t long, key long")
-    pairs = {(x.u, x.v) for x in lines.links(bands, spark.createDataFrame([(k, None, [1], t) for k, t in texts], "key long, s array<long>, dense array<long>, norm string")).collect()}
-    assert pairs == {(2, 3), (4, 5)}
+    assert components_of(spark, texts, lambda k: 7) == [[2, 3], [4, 5]]
 
 
 def test_rebuilt_documents_and_odd_rows(spark):
@@ -108,8 +116,59 @@ def test_links_inside_large_mixed_bands(spark):
     texts += [(k, f"{passage} {' '.join(word(6) for _ in range(20))}") for k in range(43, 75)]
     tail = word(80)
     texts += [(k, dense + (tail[:-1] + "z" if k == 140 else tail if k == 150 else word(80))) for k in range(100, 170)]
-    bands = spark.createDataFrame([(int(k >= 100), k) for k, _ in texts], "t long, key long")
-    df = lines._signed(spark.createDataFrame(texts, "key long, norm string")).select("key", "s", "dense", "norm")
-    found = {(x.u, x.v) for x in lines.links(bands, df).collect()}
-    assert all(similar(dict(texts)[u], dict(texts)[v]) for u, v in found)
-    assert {x for p in found for x in p} == {40, 41, 42, 140, 150} and len({(40, 41), (40, 42), (41, 42)} & found) >= 2
+    assert components_of(spark, texts, lambda k: int(k >= 100)) == [[40, 41, 42], [140, 150]]
+
+
+def test_near_copies_among_crowds_of_unlike_lines(spark):
+    """The same thirty near copies, alone and among 300 lines that share most of their words, are one class; lines of long words too."""
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abcdefghilmnoprstu") for _ in range(n))
+    passage = [word(6) for _ in range(30)]
+    near = [passage + [word(6) for _ in range(12)]]
+    for _ in range(29):
+        w = list(near[0])
+        w[r.randrange(30, 42)] = word(6)
+        near.append(w)
+    for others in (0, 300):
+        texts = [(k, " ".join(w)) for k, w in enumerate(near)] + [(100 + k, " ".join(passage + [word(6) for _ in range(15)])) for k in range(others)]
+        r.shuffle(texts)
+        want = brute(texts)
+        got = marks(lines.duplicates(spark.createDataFrame(texts, "doc_id long, text string")))
+        assert {k: v[0] for k, v in got.items()} == want and len(set(want.values())) == 1 + others
+    long = [word(60) for _ in range(14)]
+    texts = [(1, " ".join(long)), (2, " ".join(word(1) + w[1:] for w in long))]
+    got = marks(lines.duplicates(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert {k: v[0] for k, v in got.items()} == brute(texts) and got[2, 0][0] == (1, 0)
+
+
+def test_recall_at_the_threshold(spark):
+    """Of random pairs of lines that are similar by 0.8 to 0.85, at least 0.95 share a class."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 9)))
+    texts, pairs = [], 0
+    while pairs < 400:
+        a = [word() for _ in range(r.choice([15, 40, 120]))]
+        b = list(a)
+        for _ in range(r.randint(1, max(1, len(a) // 9))):
+            b[r.randrange(len(b))] = word()
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        if 0.8 <= len(x & y) / len(x | y) < 0.85:
+            texts += [(2 * pairs, " ".join(a)), (2 * pairs + 1, " ".join(b))]
+            pairs += 1
+    got = marks(lines.duplicates(spark.createDataFrame(texts, "doc_id long, text string")))
+    found = sum(got[2 * k + 1, 0][0] == (2 * k, 0) for k in range(pairs))
+    print("recall", found / pairs)
+    assert found >= 0.95 * pairs
+
+
+def test_lines_that_share_a_hash(spark, monkeypatch):
+    """With a first hash of four bits unlike lines share keys; the second hash parts them."""
+    monkeypatch.setattr(lines, "KEY_BITS", 4)
+    docs = corpus()[:30]
+    got = marks(lines.duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert {k: v[0] for k, v in got.items()} == brute(docs)
+
+
+def test_columns_named_like_helpers_stay(spark):
+    df = spark.createDataFrame([(1, "one line\nanother", 1, 2, 3, 4, 5), (2, "One line", 1, 2, 3, 4, 5)], "doc_id long, text string, _row int, _gone int, _new int, _id int, key int")
+    assert [tuple(x) for x in lines.deduplicate(df).collect()] == [(1, "one line\nanother", 1, 2, 3, 4, 5)]
