@@ -6,16 +6,13 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 512
-#: How many members of a band lead in the second round of ``links_in_bands``, and by how much each later round has more.
-LEADERS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,7 +58,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def map_rows(df: DataFrame, inputs: list[Column], make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, inputs: list[Column], make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema) -> DataFrame:
     """Map ``inputs`` batch by batch; ``make()`` runs once in each task and returns the batch function."""
     small_batches(df.sparkSession)
 
@@ -132,40 +129,6 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def links_in_bands(bands: DataFrame, verified: Callable[[DataFrame], DataFrame], near: Column | None = None) -> DataFrame:
-    """Verified pairs (u, v) of keys that hold every band's linked members together; ``bands`` (t, key[, fp]).
-
-    In each round some members of a band lead: those found linked that haven't led yet or, where there are
-    none, new seeds. They are verified against all members that nobody was
-    found linked to so far; their number grows from one to LEADERS to all, so a cluster of near
-    copies takes a round or two and about a pair for each member, and unlike members are compared
-    completely. ``verified`` takes distinct pairs and returns the linked ones, computed; ``near`` may
-    rule pairs out by their fingerprints, xfp and yfp. A column st of ``bands`` starts members as
-    0, nobody linked yet, or 1, found linked.
-    """
-    in_band, fp = Window.partitionBy("t"), [c for c in bands.columns if c == "fp"]
-    state = bands if "st" in bands.columns else bands.withColumn("st", F.lit(0))
-    found, most = [], 1
-    while True:
-        turn = state.withColumn("able", F.col("st") == F.max(F.when(F.col("st") < 2, F.col("st"))).over(in_band))
-        turn = cut(turn.withColumn("lead", F.col("able") & (F.row_number().over(in_band.orderBy(F.desc("able"), "key")) <= most)).select("t", "key", *fp, "st", "lead"))
-        x = turn.where("lead").select("t", F.col("key").alias("x"), *[F.col(c).alias("xfp") for c in fp])
-        y = turn.where("st = 0").select("t", F.col("key").alias("y"), *[F.col(c).alias("yfp") for c in fp])
-        met = x.join(y, "t").where("x <> y")
-        if near is not None:
-            met = met.where(near)
-        met = cut(met.select("t", "y", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
-        linked = verified(met.select("u", "v").distinct())
-        found.append(linked)
-        hit = met.join(linked, ["u", "v"]).select("t", F.col("y").alias("key")).distinct().withColumn("hit", F.lit(True))
-        now = F.when(F.col("lead"), 2).when(F.col("hit"), 1).otherwise(F.col("st"))
-        left = turn.join(hit, ["t", "key"], "left").select("t", "key", *fp, now.alias("st")).withColumn("open", F.min("st").over(in_band)).where("open = 0")
-        state = cut(left.select("t", "key", *fp, "st"))
-        if state.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        most = min(LEADERS * most, 1 << 20)
-
-
 def hadoop(spark: SparkSession, path: str):
     """(file system, path) of ``path``, for renames and deletes in stores that only Spark reaches."""
     jvm = spark.sparkContext._jvm
