@@ -1,4 +1,9 @@
-"""A training corpus from ``documents``: five stages, each written as Parquet and read again as the next one's documents."""
+"""A training corpus from ``documents``: five stages, each written as Parquet and read again as the next one's documents.
+
+Every stage but the last returns the columns of its documents, whatever their
+names. Null and empty texts stay; rows with a null id, and rows that repeat one, are
+kept or dropped as their texts ask; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, lines, simhash, toxicity
-from tessera.llm.common import cut, fold, hadoop, shared_path
+from tessera.llm.common import cut, fold, free_name, hadoop, shared_path
 
 
 def _side(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -19,7 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents at or over their language's threshold go. Labels are learned outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, fold(F.col("doc_id"), 3) != 1)
-    return toxicity.score(docs, model, keep=docs.columns).where("not toxic").select(*docs.columns)
+    return toxicity.reject(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +33,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents similar by 0.8 or more in five-word shingles that of the smallest id stays; rows without an id stay."""
-    found = simhash.similar_documents(docs)
-    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(_side(docs, gone), docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    found, own = simhash.similar_documents(docs), free_name(docs, "id")
+    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(_side(docs, gone), docs["doc_id"].cast("long") == F.col(own), "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
