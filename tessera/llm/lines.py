@@ -9,8 +9,9 @@ shingles have an exact Jaccard similarity of 0.8 or more are linked, and of
 each component of links the first line stays.
 
 The smallest key of a band leads it: every member meets the leader. Members
-that aren't linked with it meet one another, in small bands as pairs, in
-crowded ones (of any size) where they share a rare shingle: similar lines have one of
+that aren't linked with it meet one another: in small bands as pairs; crowded ones
+are dealt by a further hash of the signatures, and where that leaves crowds
+(of any size) their members meet by rare shingles, as similar lines have one of
 their fifth of rarest shingles in common.
 """
 
@@ -153,23 +154,56 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("u"), F.greatest(x, y).alias("v")]
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """``rows`` (t, key, root) of bands that hold several roots, with the number n of the band's rows."""
+    held = rows.groupBy("t").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    return cut(rows.join(held.select("t", "n"), "t"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """All pairs (u, v) of a band's keys that differ in the root; for bands of CROWD rows at most."""
+    few = rows.where(F.col("n") <= CROWD)
+    x, y = (few.select("t", F.col("key").alias(n), F.col("root").alias(n + "root")) for n in "xy")
+    return x.join(y, "t").where("x < y and xroot <> yroot").select(F.col("x").alias("u"), F.col("y").alias("v"))
+
+
+def _finer(crowd: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (t, key, root) of crowded bands dealt by a further hash of their signatures, and those of short signatures as they were.
+
+    Candidates share a third of a signature: of seven hashes or more one at least beside the band's own two. A line of
+    under seven can be like one of a few more, so lines of under ten stay under the band's own name.
+    """
+    names = [*_WORD_COLUMNS, *_DENSE_COLUMNS]
+    rows = crowd.select("t", "key", "root").join(keys.select("key", *names), "key")
+    sizes, entries = [], []
+    for k, own in enumerate((_WORD_COLUMNS, _DENSE_COLUMNS)):
+        e = _unpacked(own)
+        sizes.append(sum((c.isNotNull().cast("int") for c in e[1:]), e[0].isNotNull().cast("int")))
+        of_band = [F.coalesce(F.col("t") == F.xxhash64(x, y), F.lit(False)) for x, y in zip(e, e[1:])]
+        beside = [a | b for a, b in zip([F.lit(False), *of_band], [*of_band, F.lit(False)])]
+        entries += [F.when(~b, c.cast("long") + F.lit(k << 40)) for b, c in zip(beside, e)]
+    size = F.greatest(*sizes)
+    finer = rows.where(size >= 7).select("t", "key", "root", F.explode(F.array(*entries)).alias("e")).where("e is not null")
+    return finer.select(F.xxhash64("t", "e").alias("t"), "key", "root"), rows.where(size < 10).select("t", "key", "root")
+
+
 def _rare_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) of keys that share a band of ``crowd`` (t, key, root), not the root, and one of their rarest shingles.
+    """Pairs (u, v) of keys that share a band of ``crowd`` (t, key, root), not the root, and one of their rarest shingles.
 
     Of sets that are similar by 0.8, the shingles taken in any one order, each has among its first fifth and one more
     a shingle that the other has there too. The order is by count in the crowd, the rare ones first; any order gives all
     pairs, a good one few others.
     """
-    own = cut(crowd.select("key").distinct().join(texts, "key").select("key", F.explode(shingles(F.col("norm"))).alias("s")))
+    own = crowd.select("key").distinct().join(texts, "key").select("key", F.explode(shingles(F.col("norm"))).alias("s"))
     counts = own.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     ranked = own.join(counts, "s", "left").select("key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "s").alias("r"))
     sets = ranked.groupBy("key").agg(F.sort_array(F.collect_list("r")).alias("r"))  # of one line each
     size = F.size("r")
     first = sets.select("key", size.alias("size"), F.explode(F.slice("r", 1, (size - F.ceil(size * 4 / F.lit(5)) + 1).cast("int"))["s"]).alias("s"))
-    dealt = cut(first.join(crowd, "key").select("t", "s", "key", "root", "size"))
-    x, y = (dealt.select("t", "s", *[F.col(c).alias(n + c) for c in ("key", "root", "size")]) for n in "xy")
-    met = x.join(y, ["t", "s"]).where("xkey < ykey and xroot <> yroot and least(xsize, ysize) * 5 >= greatest(xsize, ysize) * 4")
-    return met.select(F.col("xkey").alias("u"), F.col("ykey").alias("v")).distinct()
+    dealt = stored(first.join(crowd, "key").select(F.xxhash64("t", "s").alias("t"), "key", "root", "size"), "line-rare")
+    x, y = (dealt.select("t", *[F.col(c).alias(n + c) for c in ("key", "root", "size")]) for n in "xy")
+    met = x.join(y, "t").where("xkey < ykey and xroot <> yroot and least(xsize, ysize) * 5 >= greatest(xsize, ysize) * 4")
+    return met.select(F.col("xkey").alias("u"), F.col("ykey").alias("v"))
 
 
 def classes(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
@@ -181,17 +215,18 @@ def classes(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
     led = similar(cut(_likely(beside.select(*_ordered("key", "leader")).distinct(), keys)), texts)
     roots = cut(components(led).withColumnRenamed("node", "key"))
     open_ = beside.select("t", "key").join(roots, "key", "left").select("t", "key", F.coalesce("root", "key").alias("root"))
-    mixed = open_.groupBy("t").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    left = cut(open_.join(mixed.select("t", "n"), "t"))
+    left = _mixed(open_)
     if left.isEmpty():
         return roots
-    few = left.where(F.col("n") <= CROWD).select("t", "key", "root")
-    x, y = (few.select("t", F.col("key").alias(n), F.col("root").alias(n + "root")) for n in "xy")
-    pairs = _likely(x.join(y, "t").where("x < y and xroot <> yroot").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), keys)
-    crowd = left.where(F.col("n") > CROWD).select("t", "key", "root")
+    pairs, crowd = _pairs(left), left.where(F.col("n") > CROWD)
+    likely, rare = pairs.distinct(), None
     if not crowd.isEmpty():
-        pairs = pairs.unionByName(_rare_pairs(crowd, texts)).distinct()
-    found = similar(cut(pairs), texts)
+        finer, short = _finer(crowd, keys)
+        finer = _mixed(finer)
+        likely = pairs.unionByName(_pairs(finer)).distinct()
+        rare = _rare_pairs(cut(finer.where(F.col("n") > CROWD).select("t", "key", "root").unionByName(short)), texts).distinct()
+    likely = _likely(likely, keys)
+    found = similar(cut(likely.unionByName(rare).distinct() if rare is not None else likely), texts)
     named = lambda k: found.join(roots.select(F.col("key").alias(k), F.col("root").alias(k + "root")), k, "left").withColumn(k, F.coalesce(k + "root", k))
     found = named("u").select("u", "v")
     upper = cut(components(named("v").select("u", "v")).withColumnRenamed("root", "top"))
