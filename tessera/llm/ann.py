@@ -4,7 +4,10 @@ Vectors are turned by random rotations, each curve takes DIMS of the turned
 coordinates, squeezes them into the unit cube, shifts them, and orders them by
 their Hilbert index. A curve is cut into blocks of about the same number of
 vectors; a query meets the block that holds its key and the neighbouring ones,
-on every curve, and what it meets is ranked by the exact inner product.
+on every curve, and what it meets is ranked by the exact inner product. How
+far a query reaches is measured: on the sample, so far that RECALL of the true
+neighbours are met. Vectors with structure need a small part of each curve;
+isotropic ones, whose neighbours no order keeps together, a constant share of all vectors.
 Maximum inner products become nearest neighbours by one more coordinate, which
 brings every vector to the length of the longest.
 """
@@ -22,11 +25,13 @@ from pyspark.sql import functions as F
 from .common import cut, small_batches
 
 CURVES, DIMS, BITS = 16, 4, 12
-#: Vectors that the rotations' scale and the blocks' bounds are fitted on, in the order of a hash of their ids.
-SAMPLE = 20_000
-#: Of a curve, the share of all vectors that a query meets: near-isotropic data need a constant share for a constant
-#: recall. A curve has at least LEAST blocks, as far as they hold FEW vectors, and blocks of about FULL vectors beyond.
-SHARE, LEAST, FEW, FULL = 3 / 32, 32, 64, 4096
+#: Vectors that the rotations' scale, the blocks' bounds and the reach are fitted on, in the order of a hash of their ids, and those of them that ask.
+SAMPLE, ASK = 20_000, 400
+#: Share of the sample's true neighbours that the reach must meet.
+RECALL = 0.95
+#: A curve has at least LEAST blocks, as far as they hold FEW vectors, and blocks of about FULL vectors beyond, split by id
+#: where the sample gives no more bounds.
+LEAST, FEW, FULL = 128, 32, 4096
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -64,6 +69,7 @@ class Index:
     shift: np.ndarray
     bounds: np.ndarray  # curve, inner bound
     reach: int  # neighbouring blocks on either side
+    split: int  # parts of a block
 
     def lift(self, vectors: np.ndarray, query: bool) -> np.ndarray:
         """One more coordinate; queries are scaled to the longest length, candidates filled up to it."""
@@ -85,7 +91,7 @@ class Index:
         return np.searchsorted(self.bounds[curve], keys, side="left"), np.searchsorted(self.bounds[curve], keys, side="right")
 
 
-def fit(vectors: DataFrame, curves: int = CURVES, share: float = SHARE, seed: int = 3) -> Index | None:
+def fit(vectors: DataFrame, k: int = 20, curves: int = CURVES, recall: float = RECALL, seed: int = 3) -> Index | None:
     """An index for ``vectors`` (vec_id, v: cleaned), None if there are none."""
     n, longest = vectors.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)))).first()
     if not n:
@@ -96,18 +102,38 @@ def fit(vectors: DataFrame, curves: int = CURVES, share: float = SHARE, seed: in
     width = x.shape[1] + 1
     dims = min(DIMS, width)
     turned = [np.linalg.qr(rng.standard_normal((width, width)))[0] for _ in range(-(-curves // (width // dims)))]
-    axes = np.array([t[:, k * dims : (k + 1) * dims] for t in turned for k in range(width // dims)][:curves])
-    index = Index(float(longest), axes, np.zeros((curves, dims)), np.ones((curves, dims)), rng.random((curves, dims)), np.zeros((curves, 0), np.uint64), 0)
+    axes = np.array([t[:, j * dims : (j + 1) * dims] for t in turned for j in range(width // dims)][:curves])
+    index = Index(float(longest), axes, np.zeros((curves, dims)), np.ones((curves, dims)), rng.random((curves, dims)), np.zeros((curves, 0), np.uint64), 0, 1)
     lifted = index.lift(x, False)
     at = np.einsum("nw,cwd->cnd", lifted, axes)
     index.middle, index.scale = at.mean(axis=1), at.std(axis=1) + 1e-12
     blocks = max(min(LEAST, n // FEW), -(-n // FULL), 1)
-    index.reach = max(1, int(np.ceil((blocks * share - 1) / 2)))
-    ordered = np.sort(index.keys(lifted), axis=1)
-    index.bounds = ordered[:, [len(x) * k // blocks for k in range(1, blocks)]]
+    blocks, index.split = min(blocks, len(x)), -(-blocks // len(x))
+    keys = index.keys(lifted)
+    index.reach = max(1, int(np.ceil(_share(index, x, keys, k, recall) * blocks)))
+    ordered = np.sort(keys, axis=1)
+    index.bounds = ordered[:, [len(x) * j // blocks for j in range(1, blocks)]]
     return index
 
 
+def _share(index: Index, x: np.ndarray, keys: np.ndarray, k: int, recall: float) -> float:
+    """The share of a curve, on either side, within which ``recall`` of the neighbours of some of the sample ``x`` lie on one curve at least."""
+    n = len(x)
+    ask = np.arange(min(n, ASK))  # the sample is in the order of a hash
+    score = x[ask] @ x.T
+    score[ask, ask] = -np.inf
+    k = min(k, n - 1)
+    if k < 1:
+        return 1.0
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    least = np.ones(near.shape)
+    for curve, own in enumerate(index.keys(index.lift(x[ask], True))):
+        ordered = np.sort(keys[curve])
+        place = np.searchsorted(ordered, own) / n
+        least = np.minimum(least, np.abs(np.searchsorted(ordered, keys[curve])[near] / n - place[:, None]))
+    return float(np.quantile(least, recall))
+
+
 def clean(embeddings: DataFrame) -> DataFrame:
     """(vec_id, v) of rows that take part: id known, vector neither null nor zero, no null or non-finite component, of the usual length."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).where(
@@ -141,11 +167,12 @@ def _dealt(rows: DataFrame, index: Index, query: bool) -> DataFrame:
             for curve, keys in enumerate(index.keys(index.lift(_matrix(b.column(1)), query))):
                 lo, hi = index.blocks(curve, keys)
                 if query:
-                    lo, hi = np.maximum(lo - index.reach, 0), np.minimum(hi + index.reach, last)
+                    lo, hi = np.maximum(lo - index.reach, 0) * index.split, np.minimum(hi + index.reach, last) * index.split + index.split - 1
                     n = hi - lo + 1
                     row = np.repeat(np.arange(len(n)), n)
                     block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[row]
-                else:  # vectors that share a key which fills blocks are spread over these by id
+                else:  # vectors that share a key which fills blocks are spread over these by id, as those of a block over its parts
+                    lo, hi = lo * index.split, hi * index.split + index.split - 1
                     row, block = np.arange(len(keys)), lo + (ids * 2654435761 >> 7) % (hi - lo + 1)
                 take = b.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array([curve] * len(row), pa.int32()), pa.array(block, pa.int32()), pa.array([query] * len(row)), take.column(0), take.column(1)], ["curve", "block", "query", "vec_id", "v"])
@@ -174,7 +201,35 @@ def rank_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k
     return out_q, out_c, out_s
 
 
-def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, curves: int = CURVES, share: float = SHARE) -> DataFrame:
+def _met(rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): of rows of (curve, block, query, vec_id, v) the ``k`` best candidates of each query in each block.
+
+    A task holds the candidates of one block and a batch of its queries at a time.
+    """
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            curve, block, ask = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            ids, v = b.column(3).to_numpy(), _matrix(b.column(4))
+            starts = np.flatnonzero(np.r_[True, (curve[1:] != curve[:-1]) | (block[1:] != block[:-1]) | (ask[1:] != ask[:-1])])
+            for lo, hi in zip(starts, np.r_[starts[1:], b.num_rows]):
+                if at != (curve[lo], block[lo]):
+                    at, held = (curve[lo], block[lo]), []
+                if not ask[lo]:
+                    held.append((ids[lo:hi], v[lo:hi]))
+                elif held:
+                    if len(held) > 1:
+                        held = [tuple(np.concatenate(x) for x in zip(*held))]
+                    found = rank_block(ids[lo:hi], v[lo:hi], *held[0], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+    return rows.repartition("curve", "block").sortWithinPartitions("curve", "block", "query").mapInArrow(answer, "query_id long, vec_id long, score double")
+
+
+def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, curves: int = CURVES, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found for each row of ``queries`` among all rows of ``embeddings``.
 
     Both hold vec_id and embedding. Rows that can't take part (see ``clean``)
@@ -189,20 +244,14 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, curves: int =
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     same = Window.partitionBy("v").orderBy("vec_id")
     some = cut(rows.distinct().withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("vec_id", "v"))
-    index = fit(some, curves, share)
+    index = fit(some, k, curves, recall)
     if index is None:
         return empty
     width = index.axes.shape[1] - 1
     asked = clean(queries).where(F.size("v") == width).distinct()
     meet = _dealt(some, index, False).unionByName(_dealt(asked, index, True))
 
-    def answer(table: pa.Table) -> pa.Table:
-        ask = table.column("query").to_numpy()
-        ids, v = table.column("vec_id").to_numpy(), _matrix(table.column("v"))
-        found = rank_block(ids[ask], v[ask], ids[~ask], v[~ask], k) if ask.any() and not ask.all() else ([], [], [])
-        return pa.table([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-    near = meet.groupBy("curve", "block").applyInArrow(answer, "query_id long, vec_id long, score double")
+    near = _met(meet, k)
     best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -59,3 +59,32 @@ def test_odd_rows_and_ties(spark):
     few = df.where("vec_id in (0, 1, 41)")
     assert {q: len(v) for q, v in got(ann.search(few, few)).items()} == {0: 2, 1: 2, 41: 2}
     assert ann.search(df.limit(0), df).count() == 0 and ann.search(df, df.limit(0)).count() == 0
+
+
+def test_structured_vectors_need_a_small_part(spark):
+    """Vectors on a curved sheet in 48 dimensions: high recall while a query meets far fewer vectors than there are."""
+    rng = np.random.default_rng(1)
+    x = np.tanh(rng.standard_normal((6000, 2)) @ rng.standard_normal((2, 48)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    index = ann.fit(ann.clean(df))
+    blocks = index.bounds.shape[1] + 1
+    assert len(index.axes) * (2 * index.reach + 1) / blocks < 0.75
+    x = x.astype(np.float32)
+    found = got(ann.search(df, df.where("vec_id % 20 = 0")))
+    s = x[::20].astype(np.float64) @ x.T.astype(np.float64)
+    s[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    recall = np.mean([len(set(np.argsort(-r)[:20].tolist()) & {i for i, _ in found[20 * q]}) / 20 for q, r in enumerate(s)])
+    assert recall >= 0.9
+
+
+def test_split_blocks_give_the_same(spark, monkeypatch):
+    """Where the sample gives fewer bounds than blocks are wanted, the parts of a block hold what it held."""
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((900, 6)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "SAMPLE", 10)
+    monkeypatch.setattr(ann, "FULL", 20)
+    assert ann.fit(ann.clean(df)).split > 1
+    found = got(ann.search(df, df.where("vec_id % 20 = 0"), k=5, recall=1.0))
+    want = brute(rows, [r for r in rows if r[0] % 20 == 0], 5)
+    assert np.mean([len({i for i, _ in found[q]} & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9
