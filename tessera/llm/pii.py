@@ -3,9 +3,12 @@
 The patterns find protected entities (addresses, cards, phones). A term near
 an entity may reveal it even when the entity itself is gone. How strongly it
 does is estimated from co-occurrence in the corpus: of the documents that hold
-the term, the share in which it stands next to the entity, and the bits by which
-seeing the term raises the entity's probability. Terms beyond a threshold are
-generalised, beyond a higher one removed, wherever they stand next to the entity.
+the term, the share in which it stands next to the entity's owner, and the bits by which
+seeing the term raises the owner's probability. One document more without the owner is
+assumed, so that a term seen once discloses by one half, and surer as it recurs. Terms
+beyond a threshold are generalised to the narrowest class of terms, those that
+begin alike, that stays under it; terms beyond a higher one, and those without such a
+class, are removed, wherever they stand next to the entity.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from .common import cut, map_rows, small_batches, strings, text_of
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Terms on either side of an entity that count as its context.
 CONTEXT = 8
-#: A term is sanitised if it stands by the entity in so many distinct texts, in this share of all its documents, and adds so many bits.
-SUPPORT, GENERALISE, REMOVE, BITS = 3, 0.5, 0.9, 4.0
+#: A term is sanitised if it stands by the owner in this share of its documents and adds so many bits; beyond REMOVE it isn't generalised.
+GENERALISE, REMOVE, BITS = 0.5, 0.8, 4.0
+#: A broader class holds the terms that begin with the same so many characters, the narrower one first.
+STEMS = (4, 2)
 #: Bits of the map of candidate terms that workers get; terms that share a bit are told apart by the join.
-MAP_BITS = 1 << 20
+MAP_BITS = 1 << 23
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -96,8 +101,15 @@ def show(spans: list[Span]) -> str:
 
 
 def entity(text: str, span: Span) -> int:
-    """A 64-bit name of the entity: its kind and its letters and digits."""
-    value = re.sub(r"[^a-z0-9@.]" if span[1] < 2 else r"[^0-9]", "", text[span[0] : span[2]].lower())
+    """A 64-bit name of the entity's owner: its kind and the address without the local part's digits, the network of an ip, all digits of a card or phone."""
+    value = text[span[0] : span[2]].lower()
+    if span[1] == 0:
+        local, _, domain = value.partition("@")
+        value = f"{local.rstrip('0123456789._%+-') or local}@{domain}"
+    elif span[1] == 1:
+        value = ".".join(part.lstrip("0") for part in value.split(".")[:3])
+    else:
+        value = _DIGITS.sub("", value)
     return int.from_bytes(hashlib.blake2b(f"{KINDS[span[1]]}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
@@ -141,8 +153,13 @@ def _first_pass(documents: DataFrame, keep_text: bool) -> DataFrame:
     return map_rows(documents, [documents["doc_id"].cast("long").alias("doc_id"), text_of(documents)], make, schema)
 
 
+def items(term: str) -> list[str]:
+    """The term and its classes, the narrower one first; no term ends in a star."""
+    return [term, *(f"{term[:n]}*" for n in STEMS if len(term) > n)]
+
+
 def _document_counts(documents: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(t, df): in how many rows of ``documents`` each candidate term occurs, over all of them.
+    """(t, df): in how many rows of ``documents`` each candidate, a term or a class of terms, occurs, over all of them.
 
     Workers get a map of MAP_BITS bits, whatever the number of candidates, and
     count the terms whose bit is set; the join leaves the candidates alone.
@@ -158,23 +175,31 @@ def _document_counts(documents: DataFrame, candidates: DataFrame) -> DataFrame:
     def count(batches):
         bits, wanted, counts = shared.value, {}, Counter()
 
-        def want(word: str) -> bool:
-            i = zlib.crc32(word.encode()) % MAP_BITS
-            return bool(bits[i >> 3] >> (i & 7) & 1)
+        def want(word: str) -> tuple[str, ...]:
+            """The candidates that the word stands for: itself and its classes."""
+            out = []
+            for item in items(word):
+                i = zlib.crc32(item.encode()) % MAP_BITS
+                if bits[i >> 3] >> (i & 7) & 1:
+                    out.append(item)
+            return tuple(out)
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["t", "n"])
 
         for b in batches:
             for text in strings(b.column(0)):
+                found = set()
                 for w in {x.lower() for x in set(_TERM.findall(text))}:
-                    yes = wanted.get(w)
-                    if yes is None:
-                        if len(wanted) > 400_000:
-                            wanted.clear()
-                        yes = wanted[w] = want(w)
-                    if yes:
-                        counts[w] += 1
+                    own = wanted.get(w)
+                    if own is None:
+                        own = want(w)
+                        if len(w) <= 64:  # so that an entry takes 400 bytes at most
+                            if len(wanted) >= 100_000:
+                                wanted.clear()
+                            wanted[w] = own
+                    found.update(own)
+                counts.update(found)
             if len(counts) > 200_000:
                 yield rows()
                 counts.clear()
@@ -186,22 +211,25 @@ def _document_counts(documents: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def disclosures(found: DataFrame, documents: DataFrame) -> DataFrame:
-    """(e, t, share, bits, action) of the terms that give entities away, from the first pass over all rows."""
-    near = found.where("key is not null").select("doc_id", "key", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x.e.alias("e"), x.t.alias("t"))))).alias("x"))
-    by_text = near.groupBy("x.e", "x.t", "key").agg(F.count("*").alias("n"))
-    joint = cut(by_text.groupBy("e", "t").agg(F.sum("n").alias("n"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT))
-    if joint.isEmpty():
-        return joint.selectExpr("e", "t", "0D as share", "0D as bits", "'' as action")
-    owners = found.where("key is not null").select(F.explode(F.array_distinct(F.transform("near", lambda x: x.e))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
+    """(e, t, share, bits, action, broader) of the terms that give owners away, from the first pass over all rows."""
+    rows = found.where("key is not null").withColumn("d", F.monotonically_increasing_id())  # of rows that are written down
+    near = rows.select("d", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x.e.alias("e"), x.t.alias("t"))))).alias("x")).select("d", "x.e", "x.t")
+    length = F.char_length("t")
+    stem = lambda n: F.when(length > n, F.concat(F.substring("t", 1, n), F.lit("*")))
+    seen = near.select("d", "e", F.explode(F.array(F.col("t"), *map(stem, STEMS))).alias("t")).where("t is not null")
+    joint = cut(seen.distinct().groupBy("e", "t").agg(F.count("*").alias("n")))
+    owners = near.select("d", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
     total = found.count()
-    df = _document_counts(documents, joint)
-    share = F.col("n") / F.col("df")
-    bits = F.log2(share * F.lit(float(total)) / F.col("n_e"))
-    return (
-        joint.join(owners, "e").join(df, "t").select("e", "t", share.alias("share"), bits.alias("bits"))
-        .where((F.col("share") >= GENERALISE) & (F.col("bits") >= BITS))
-        .withColumn("action", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise"))
-    )
+    shared = joint.join(_document_counts(documents, joint), "t").withColumn("share", F.col("n") / (F.col("df") + 1))
+    shared = cut(shared.join(owners, "e").withColumn("bits", F.log2(F.col("share") * F.lit(float(max(total, 1))) / F.col("n_e"))).select("e", "t", "share", "bits"))
+    out = shared.where(~F.endswith("t", F.lit("*"))).where((F.col("share") >= GENERALISE) & (F.col("bits") >= BITS))
+    for n in STEMS:
+        classes = shared.where((F.col("share") < GENERALISE) & F.endswith("t", F.lit("*")) & (F.char_length("t") == n + 1))
+        classes = classes.select("e", F.col("t").alias(f"stem{n}"), F.col("t").alias(f"class{n}"))
+        out = out.withColumn(f"stem{n}", stem(n)).join(classes, ["e", f"stem{n}"], "left")
+    broader = F.coalesce(*[F.col(f"class{n}") for n in STEMS])
+    removed = (F.col("share") >= REMOVE) | broader.isNull()
+    return out.select("e", "t", "share", "bits", F.when(removed, "remove").otherwise("generalise").alias("action"), F.when(~removed, broader).alias("broader"))
 
 
 def find(documents: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -209,29 +237,28 @@ def find(documents: DataFrame, keep_text: bool = False) -> DataFrame:
 
     ``base``: the spans of the patterns (begin, kind, end; kind is the place in
     KINDS) by begin, then kind; ``terms``: spans of disclosing terms (begin,
-    end, action). Null and empty texts have none; repeated rows each give a
-    row, with the same spans; an empty table gives none. Copies of a text
-    support a disclosure once.
+    end, action, broader: the class that stands for a generalised one). Null and empty texts have none; repeated rows each give a
+    row, with the same spans, and count as documents of their own; an empty table gives none; other columns aren't read.
     """
     found = cut(_first_pass(documents, keep_text))
     telling = disclosures(found, documents)
     spans = (
         found.where("key is not null").select("key", F.explode("near").alias("x")).select("key", "x.e", "x.t", "x.b", "x.x").distinct()
-        .join(telling, ["e", "t"]).groupBy("key", "b", "x").agg(F.max("action").alias("action"))  # of two entities' actions, 'remove' is the stronger
-        .groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("b").alias("begin"), F.col("x").alias("end"), "action"))).alias("terms"))
+        .join(telling, ["e", "t"]).groupBy("key", "b", "x").agg(F.max(F.struct("action", "broader")).alias("a"))  # of two owners' actions, 'remove' is the stronger
+        .groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("b").alias("begin"), F.col("x").alias("end"), F.col("a.action").alias("action"), F.col("a.broader").alias("broader")))).alias("terms"))
     )
-    none = F.array().cast("array<struct<begin:bigint,end:bigint,action:string>>")
+    none = F.array().cast("array<struct<begin:bigint,end:bigint,action:string,broader:string>>")
     names = ["doc_id", "base", "terms"] + ["text"] * keep_text
     plain = found.where("key is null").withColumn("terms", none)
     return plain.select(*names).unionByName(found.where("key is not null").join(spans, "key", "left").withColumn("terms", F.coalesce("terms", none)).select(*names))
 
 
 def redact(text: str | None, base: list, terms: list) -> str | None:
-    """``text`` with spans of the patterns named by kind, telling terms generalised to [TERM] or removed. Of overlapping spans the first counts."""
+    """``text`` with spans of the patterns named by kind, telling terms generalised to their class or removed. Of overlapping spans the first counts."""
     if text is None:
         return None
     marks = [(s["begin"], s["end"], f"[{KINDS[s['kind']].upper()}]") for s in base]
-    marks += [(s["begin"], s["end"], "" if s["action"] == "remove" else "[TERM]") for s in terms]
+    marks += [(s["begin"], s["end"], "" if s["action"] == "remove" else s["broader"]) for s in terms]
     out, at = [], 0
     for b, e, mark in sorted(marks):
         if b >= at:

@@ -96,8 +96,9 @@ def op10_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = lambda k: F.element_at(F.array(*map(F.lit, pii.KINDS)), k + 1)
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s.kind), s.begin, s.end)), ",")
     every = F.array_sort(F.concat(F.col("base"), F.transform("terms", lambda s: F.struct(s.begin.alias("begin"), F.lit(4).alias("kind"), s.end.alias("end")))))
+    acts = F.array_join(F.transform("terms", lambda s: F.concat_ws(":", s.begin, s.end, F.coalesce(s.broader, s.action))), ",")
     n = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
-    return found.select("doc_id", *map(n, range(4)), F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(every).alias("spans"))
+    return found.select("doc_id", *map(n, range(4)), F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(every).alias("spans"), acts.alias("actions"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_gated_lm, op2_token_rollup, op3_hilbert_ann, op4_byte_cnn, op5_text_cnn, op6_minhash_lines, op7_fm_index, op8_simhash_trie, op9_bpe_prefix_dp, op10_information_pii)}
