@@ -34,7 +34,7 @@ _SHINGLE = r"(?s)(?=(.{5}))"
 _BLANK = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Rows of one long at most that are broadcast (16 MB); larger sides are shuffled.
 SMALL = 1_000_000
-#: Members that a band may have beside its leader before its pairs are found by rare shingles, and the count from which a shingle isn't rare.
+#: Members that a band may have beside its leader before it is dealt anew, and the count from which a shingle isn't rare.
 CROWD, COMMON = 16, 8
 #: Bits of the first hash that tells lines apart; a second one of 64 bits finds lines that share it.
 KEY_BITS = 64
@@ -154,55 +154,59 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("u"), F.greatest(x, y).alias("v")]
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """``rows`` (t, key, root) of bands that hold several roots, with the number n of the band's rows."""
-    held = rows.groupBy("t").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    return cut(rows.join(held.select("t", "n"), "t"))
+def _mixed(rows: DataFrame, by: str = "t") -> DataFrame:
+    """``rows`` (.., key, root) of bands that hold several roots, with the number n of the band's rows."""
+    held = rows.groupBy(by).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    return cut(rows.join(held.select(by, "n"), by))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
+def _pairs(rows: DataFrame, by: str = "t") -> DataFrame:
     """All pairs (u, v) of a band's keys that differ in the root; for bands of CROWD rows at most."""
     few = rows.where(F.col("n") <= CROWD)
-    x, y = (few.select("t", F.col("key").alias(n), F.col("root").alias(n + "root")) for n in "xy")
-    return x.join(y, "t").where("x < y and xroot <> yroot").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    x, y = (few.select(by, F.col("key").alias(n), F.col("root").alias(n + "root")) for n in "xy")
+    return x.join(y, by).where("x < y and xroot <> yroot").select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
 def _finer(crowd: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (t, key, root) of crowded bands dealt by a further hash of their signatures, and those of short signatures as they were.
+    """Members (t, key, root) of crowded bands with finer bands f by further hashes of their signatures, and the members of short signatures.
 
-    Candidates share a third of a signature: of seven hashes or more one at least beside the band's own two. A line of
-    under seven can be like one of a few more, so lines of under ten stay under the band's own name.
+    Candidates share a third of a signature. Beside the band's own two hashes that is one more of seven or more, and two
+    more of ten or more: lines of seven to eleven are dealt by each other hash, lines of ten or more by each two. A line of under
+    seven can be like one of a few more, so lines of under ten stay in their band as well.
     """
     names = [*_WORD_COLUMNS, *_DENSE_COLUMNS]
     rows = crowd.select("t", "key", "root").join(keys.select("key", *names), "key")
-    sizes, entries = [], []
+    sizes, ones, twos = [], [], []
     for k, own in enumerate((_WORD_COLUMNS, _DENSE_COLUMNS)):
         e = _unpacked(own)
-        sizes.append(sum((c.isNotNull().cast("int") for c in e[1:]), e[0].isNotNull().cast("int")))
+        size = sum((c.isNotNull().cast("int") for c in e[1:]), e[0].isNotNull().cast("int"))
         of_band = [F.coalesce(F.col("t") == F.xxhash64(x, y), F.lit(False)) for x, y in zip(e, e[1:])]
         beside = [a | b for a, b in zip([F.lit(False), *of_band], [*of_band, F.lit(False)])]
-        entries += [F.when(~b, c.cast("long") + F.lit(k << 40)) for b, c in zip(beside, e)]
-    size = F.greatest(*sizes)
-    finer = rows.where(size >= 7).select("t", "key", "root", F.explode(F.array(*entries)).alias("e")).where("e is not null")
-    return finer.select(F.xxhash64("t", "e").alias("t"), "key", "root"), rows.where(size < 10).select("t", "key", "root")
+        rest = [F.when(~b, c.cast("long") + F.lit(k << 40)) for b, c in zip(beside, e)]
+        rows = rows.withColumns({f"e{k}_{i}": c for i, c in enumerate(rest)} | {f"size{k}": size})
+        rest = [F.col(f"e{k}_{i}") for i in range(SKETCH)]
+        sizes.append(F.col(f"size{k}"))
+        ones += [F.when(sizes[k].between(7, 11) & c.isNotNull(), F.xxhash64("t", c)) for c in rest]
+        twos += [F.when((sizes[k] >= 10) & a.isNotNull() & b.isNotNull(), F.xxhash64("t", a, b)) for i, a in enumerate(rest) for b in rest[i + 1 :]]
+    finer = rows.select("t", "key", "root", F.explode(F.array(*ones, *twos)).alias("f")).where("f is not null")
+    return finer, rows.where(F.greatest(*sizes) < 10).select("t", "key", "root")
 
 
 def _rare_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (u, v) of keys that share a band of ``crowd`` (t, key, root), not the root, and one of their rarest shingles.
+    """Pairs (u, v) of keys of ``crowd`` (key, root) that differ in the root and share one of their rarest shingles.
 
     Of sets that are similar by 0.8, the shingles taken in any one order, each has among its first fifth and one more
     a shingle that the other has there too. The order is by count in the crowd, the rare ones first; any order gives all
-    pairs, a good one few others.
+    pairs, a good one few others. Only counts of common shingles are looked up, so the shingles of a line stay in its task.
     """
-    own = crowd.select("key").distinct().join(texts, "key").select("key", F.explode(shingles(F.col("norm"))).alias("s"))
-    counts = own.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    ranked = own.join(counts, "s", "left").select("key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "s").alias("r"))
-    sets = ranked.groupBy("key").agg(F.sort_array(F.collect_list("r")).alias("r"))  # of one line each
+    own = crowd.join(texts, "key").repartition("key").select("key", "root", F.explode(shingles(F.col("norm"))).alias("s"))
+    counts = cut(own.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON))
+    ranked = own.join(_if_small(counts, counts.count()), "s", "left").select("key", "root", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "s").alias("r"))
+    sets = ranked.groupBy("key", "root").agg(F.sort_array(F.collect_list("r")).alias("r"))  # of one line each
     size = F.size("r")
-    first = sets.select("key", size.alias("size"), F.explode(F.slice("r", 1, (size - F.ceil(size * 4 / F.lit(5)) + 1).cast("int"))["s"]).alias("s"))
-    dealt = stored(first.join(crowd, "key").select(F.xxhash64("t", "s").alias("t"), "key", "root", "size"), "line-rare")
-    x, y = (dealt.select("t", *[F.col(c).alias(n + c) for c in ("key", "root", "size")]) for n in "xy")
-    met = x.join(y, "t").where("xkey < ykey and xroot <> yroot and least(xsize, ysize) * 5 >= greatest(xsize, ysize) * 4")
+    dealt = cut(sets.select("key", "root", size.alias("size"), F.explode(F.slice("r", 1, (size - F.ceil(size * 4 / F.lit(5)) + 1).cast("int"))["s"]).alias("s")))
+    x, y = (dealt.select("s", *[F.col(c).alias(n + c) for c in ("key", "root", "size")]) for n in "xy")
+    met = x.join(y, "s").where("xkey < ykey and xroot <> yroot and least(xsize, ysize) * 5 >= greatest(xsize, ysize) * 4")
     return met.select(F.col("xkey").alias("u"), F.col("ykey").alias("v"))
 
 
@@ -219,14 +223,12 @@ def classes(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
     if left.isEmpty():
         return roots
     pairs, crowd = _pairs(left), left.where(F.col("n") > CROWD)
-    likely, rare = pairs.distinct(), None
     if not crowd.isEmpty():
         finer, short = _finer(crowd, keys)
-        finer = _mixed(finer)
-        likely = pairs.unionByName(_pairs(finer)).distinct()
-        rare = _rare_pairs(cut(finer.where(F.col("n") > CROWD).select("t", "key", "root").unionByName(short)), texts).distinct()
-    likely = _likely(likely, keys)
-    found = similar(cut(likely.unionByName(rare).distinct() if rare is not None else likely), texts)
+        finer = _mixed(finer, "f")
+        crowd = cut(finer.where(F.col("n") > CROWD).select("key", "root").unionByName(short.select("key", "root")).distinct())
+        pairs = pairs.unionByName(_pairs(finer, "f")).unionByName(_rare_pairs(crowd, texts))
+    found = similar(cut(_likely(pairs.distinct(), keys)), texts)
     named = lambda k: found.join(roots.select(F.col("key").alias(k), F.col("root").alias(k + "root")), k, "left").withColumn(k, F.coalesce(k + "root", k))
     found = named("u").select("u", "v")
     upper = cut(components(named("v").select("u", "v")).withColumnRenamed("root", "top"))
