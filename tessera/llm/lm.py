@@ -4,8 +4,9 @@ Words are counted over the whole training corpus. The HEAD most frequent
 ones are split into classes of equal size; every other word belongs to one of
 TAILS classes by its last bytes. The network gives the probability of the
 next token's class, and of the word within a head class; within a tail class
-a word has its share of the corpus counts, and words never seen share what
-Good and Turing give them: the weight of the words seen once.
+a word has its share of the corpus counts, and the words never seen are one
+event, as in the base score, with the weight that Good and Turing give it:
+that of the words seen once.
 
 Training is truncated backpropagation. A bounded sample starts the network,
 then every task goes once through all training documents of its partition
@@ -37,8 +38,8 @@ KNOWN = 1 << 18
 #: Lanes and steps of a training window; longer texts train in segments of so many tokens, which keep their order and context token.
 LANES, STEPS, SEGMENT = 1024, 12, 1024
 SCORE_LANES, SCORE_STEPS = 1024, 16
-#: Tokens a task holds at once when it trains or scores, unless a single text is longer.
-HELD = 1 << 22
+#: Tokens a task holds at once when it trains or scores, unless a single text is longer: some 20 bytes each.
+HELD = 1 << 21
 #: The sample that starts the network: bytes of text and rounds.
 WARM_BYTES, WARM_ROUNDS = 4 << 20, 2
 RATE, ROW_RATE = 0.003, 0.15
@@ -177,25 +178,10 @@ class Trainer:
         segments = [(t[a - 1] if a else self.v.start, t[a : a + SEGMENT]) for t in texts for a in range(0, len(t), SEGMENT)]
         if not segments:
             return
-        lanes = _lanes([len(s) for _, s in segments], LANES)
-        width = max(sum(len(segments[k][1]) for k in lane) for lane in lanes)
-        target = np.full((len(lanes), width), -1, np.int32)
-        before = np.full((len(lanes), width), self.v.start, np.int32)
-        first = np.zeros((len(lanes), width), bool)
-        for i, lane in enumerate(lanes):
-            at = 0
-            for k in lane:
-                c, s = segments[k]
-                target[i, at : at + len(s)] = s
-                before[i, at], before[i, at + 1 : at + len(s)] = c, s[:-1]
-                first[i, at] = True
-                at += len(s)
-        h = np.zeros((len(lanes), HIDDEN), np.float32)
-        for at in range(0, width, STEPS):
-            live = int((target[:, at] >= 0).sum())  # lanes are sorted by length
-            if not live:
-                break
-            h = self._window(target[:live, at : at + STEPS].T, before[:live, at : at + STEPS].T, ~first[:live, at : at + STEPS].T, h[:live])
+        lanes = Lanes([s for _, s in segments], [c for c, _ in segments], LANES)
+        h = np.zeros((len(lanes.length), HIDDEN), np.float32)
+        for target, before, first, _ in lanes.windows(STEPS):
+            h = self._window(target, before, ~first, h[: target.shape[1]])
 
     def _window(self, target: np.ndarray, before: np.ndarray, keep: np.ndarray, h: np.ndarray) -> np.ndarray:
         p, k = self.p, HIDDEN
@@ -266,38 +252,52 @@ def _lanes(lengths: list[int], most: int) -> list[list[int]]:
     return sorted(lanes, key=lambda lane: -sum(lengths[k] for k in lane))
 
 
+class Lanes:
+    """Sequences of symbols dealt to lanes and read window by window; memory is in proportion to the symbols, however long one sequence is."""
+
+    def __init__(self, texts: list[np.ndarray], before: list[int], most: int):
+        """``before``: the symbol before each text."""
+        lanes = _lanes([len(t) for t in texts], most)
+        order = [k for lane in lanes for k in lane]
+        size = np.array([len(texts[k]) for k in order], dtype=np.int64)
+        at = np.cumsum(size) - size
+        self.length = np.array([sum(len(texts[k]) for k in lane) for lane in lanes], dtype=np.int64)  # in descending order
+        self.start = np.cumsum(self.length) - self.length
+        self.target = np.concatenate([texts[k] for k in order]).astype(np.int32)
+        self.before = np.r_[np.int32(0), self.target[:-1]]
+        self.first = np.zeros(len(self.target), bool)
+        real = size > 0
+        self.first[at[real]] = True
+        self.before[at[real]] = np.array([before[k] for k in order], dtype=np.int32)[real]
+        self.owner = np.repeat(np.array(order, dtype=np.int32), size)
+
+    def windows(self, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(target, before, first, owner), step by lane, of the lanes that go on; target is -1 beyond a lane's end."""
+        for at in range(0, int(self.length[0]) if len(self.length) else 0, steps):
+            live = int(np.searchsorted(-self.length, -at, side="left"))
+            place = at + np.arange(min(steps, int(self.length[0]) - at))[:, None]
+            on = place < self.length[None, :live]
+            place = np.where(on, place + self.start[None, :live], 0)
+            yield np.where(on, self.target[place], -1), self.before[place], self.first[place] & on, self.owner[place]
+
+
 def log_probabilities(v: Vocabulary, p: dict[str, np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     """Of each text of symbols the sum of log10 probabilities of class, and of word within a head class, state carried from start to end."""
     out = np.zeros(len(texts))
     if not texts:
         return out
-    lanes = _lanes([len(t) for t in texts], SCORE_LANES)
-    width = sum(len(texts[k]) for k in lanes[0])
-    target = np.full((width, len(lanes)), -1, np.int32)
-    before = np.full((width, len(lanes)), v.start, np.int32)
-    owner = np.zeros((width, len(lanes)), np.int32)
-    first = np.zeros((width, len(lanes)), bool)
-    for i, lane in enumerate(lanes):
-        at = 0
-        for k in lane:
-            t = texts[k]
-            target[at : at + len(t), i], owner[at : at + len(t), i] = t, k
-            before[at + 1 : at + len(t), i] = t[:-1]
-            first[at, i] = True
-            at += len(t)
-    h = np.zeros((len(lanes), HIDDEN), np.float32)
-    for at in range(0, width, SCORE_STEPS):
-        live = int((target[at] >= 0).sum())
+    lanes = Lanes(texts, [v.start] * len(texts), SCORE_LANES)
+    h = np.zeros((len(lanes.length), HIDDEN), np.float32)
+    for target, before, first, owner in lanes.windows(SCORE_STEPS):
+        size, live = target.shape
         h = h[:live].copy()
-        size = min(SCORE_STEPS, width - at)
         states = np.empty((size, live, HIDDEN), np.float32)
         for t in range(size):
-            begun = first[at + t, :live]
-            if begun.any():
-                h[begun] = 0
-            h = _step(p, p["in"][before[at + t, :live]], h)[0]
+            if first[t].any():
+                h[first[t]] = 0
+            h = _step(p, p["in"][before[t]], h)[0]
             states[t] = h
-        goal = target[at : at + size, :live].reshape(-1)
+        goal = target.reshape(-1)
         real = np.flatnonzero(goal >= 0)
         hs, goal = states.reshape(-1, HIDDEN)[real], goal[real]
         cls, _, parts = _by_class(goal, v)
@@ -305,7 +305,7 @@ def log_probabilities(v: Vocabulary, p: dict[str, np.ndarray], texts: list[np.nd
         logp = _log_share(_scores(ones, p["cls"], p["cls_b"]), cls).astype(np.float64)
         for c, where in parts:
             logp[where] += _log_share(_scores(ones[where], p["word"][c], p["word_b"][c]), goal[where] - c * v.size)
-        out += np.bincount(owner[at : at + size, :live].reshape(-1)[real], weights=logp, minlength=len(texts))
+        out += np.bincount(owner.reshape(-1)[real], weights=logp, minlength=len(texts))
     return out / np.log(10)
 
 

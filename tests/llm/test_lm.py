@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -98,3 +99,54 @@ def test_scores_against_brute_force(spark, monkeypatch):
     assert lm.fit_and_score(df.limit(0), F.lit(True)).count() == 0
     unknown = lm.fit_and_score(df.where("doc_id < 20"), F.lit(False)).collect()
     assert len(unknown) == 22 and all(x.n_known == 0 and math.isfinite(x.score) for x in unknown)
+
+
+def test_one_very_long_text_costs_its_own_tokens():
+    """A text of a million words beside short ones: memory is in proportion to the tokens, not to lanes times the longest."""
+    texts = [t.encode() for _, t in docs(200)]
+    v = model(texts)
+    p = lm.fresh(v)
+    s = [v.symbols(*v.ids(t)) for t in texts] * 5
+    long = np.resize(np.concatenate(s), 1_000_000)
+    tracemalloc.start()
+    short = lm.log_probabilities(v, p, s)
+    both = lm.log_probabilities(v, p, [*s, long])
+    lm.Trainer(v, p).run([*s, long])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(short, both[:-1], atol=1e-3) and both[-1] < 0 and peak < 150 << 20
+
+
+def test_score_by_plain_loops(spark, monkeypatch):
+    """``score`` again, a token at a time: gates, class, word in its class, share in a tail class, the event of an unseen word."""
+    for name, value in (("HEAD", 16), ("SIZE", 4), ("KNOWN", 40)):
+        monkeypatch.setattr(lm, name, value)
+    kept = {}
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: kept.setdefault("p", train(*a)))
+    rows = [*docs(120), (500, "unseen WORDS here"), (501, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.score for x in lm.fit_and_score(df, F.col("doc_id") % 4 != 1).collect()}
+    p, v = {k: x.astype(np.float64) for k, x in kept["p"].items()}, model([(t or "").encode() for i, t in rows if i % 4 != 1])
+    counts = Counter(w for i, t in rows if i % 4 != 1 for w in lm.tokens((t or "").encode()))
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    k = lm.HIDDEN
+    for i, t in rows:
+        h, before, total = np.zeros(k), v.start, 0.0
+        for w in lm.tokens((t or "").encode()):
+            x, g = p["in"][before], h @ p["rec"]
+            r, z = sigmoid(x[:k] + g[:k]), sigmoid(x[k : 2 * k] + g[k : 2 * k])
+            n = np.tanh(x[2 * k :] + r * g[2 * k :])
+            h = z * h + (1 - z) * n
+            cls = np.exp(h @ p["cls"] + p["cls_b"])
+            rank = v.id_of.get(w, v.head)
+            if rank < v.head:
+                c = rank // 4
+                word = np.exp(h @ p["word"][c] + p["word_b"][c])
+                total += math.log10(cls[c] / cls.sum()) + math.log10(word[rank % 4] / word.sum())
+                before = rank
+            else:
+                c = lm.tail_class(w)
+                total += math.log10(cls[v.head_classes + c] / cls.sum()) + math.log10((counts[w] or v.tail_once[c] + 1) / v.tail_mass[c])
+                before = v.head + c
+        assert math.isclose(got[i], total, rel_tol=1e-4, abs_tol=1e-3)
