@@ -29,18 +29,21 @@ class Tables:
         self.views: dict[str, tuple[list[str], Relation]] = {}
 
     def attach(self, name: str, df: DataFrame, dates: tuple[str, ...] = ()) -> None:
-        """Make ``df`` a table. Timestamps named in ``dates`` count as dates; columns of types the dialect lacks stay out."""
-        name, out, columns = name.lower(), [], []
+        """Make ``df`` a table. Timestamps named in ``dates`` count as dates; columns of types the dialect lacks are an error, so drop them first."""
+        name, out, columns, strange = name.lower(), [], [], []
         if name in self.store.tables:
             raise EngineError("Catalog", f'table "{name}" already exists')
         for f in df.schema.fields:
             kind = _KINDS.get(type(f.dataType)) or _WIDENED.get(type(f.dataType))
             stamp = isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)) and f.name in dates
             if not kind and not stamp:
+                strange.append(f"{f.name} {f.dataType.simpleString()}")
                 continue
             c = df[f.name] if type(f.dataType) in _KINDS else df[f.name].cast("timestamp_ntz" if stamp else SPARK[kind])
             out.append(c.alias(f.name.lower()))
             columns.append((f.name.lower(), kind or "DATE", stamp))
+        if strange:
+            raise EngineError("Catalog", f'table "{name}" has columns of types that the dialect lacks: {", ".join(strange)}')
         view = f"{self.prefix}_{name}"
         df.select(*out).createOrReplaceTempView(f"`{view}`")
         self.attached[name] = Relation(f"`{view}`", columns)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..sources.shared import shared_path
@@ -129,7 +131,10 @@ SQL: dict[str, str] = {
     "micro_join_small": "SELECT round(sum(l_extendedprice * s_acctbal), 0) AS s FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
     "micro_join_large": "SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "micro_topn": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10",
-    "micro_sort": "SELECT round(sum(x), 2) AS s FROM (SELECT l_extendedprice AS x FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 10000) a",
+    "micro_sort": "SELECT round(sum(x), 2) AS s, count(*) AS n FROM (SELECT l_extendedprice AS x FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber OFFSET 100) a",
+    "micro_agg_1m": "SELECT count(*) AS n, round(sum(sv), 2) AS s FROM (SELECT l_orderkey, l_linenumber, sum(l_extendedprice) AS sv FROM lineitem GROUP BY l_orderkey, l_linenumber) q",
+    "micro_join_1m": "SELECT round(sum(l_extendedprice * p_retailprice), 0) AS s FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "micro_distinct_str": "SELECT count(DISTINCT p_name) AS n, count(DISTINCT p_brand) AS m FROM part",
     # groups and joins after the usual database benchmark for data frames
     "h2o_g1": "SELECT l_returnflag, CAST(sum(l_linenumber) AS bigint) AS v1 FROM lineitem GROUP BY l_returnflag",
     "h2o_g2": "SELECT l_returnflag, l_linestatus, CAST(sum(l_linenumber) AS bigint) AS v1 FROM lineitem GROUP BY l_returnflag, l_linestatus",
@@ -201,12 +206,24 @@ def copy_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.query("SELECT * FROM loaded")
 
 
+_EXPLAINED = "SELECT c_mktsegment, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 100000 AND c_nationkey < 12 GROUP BY c_mktsegment"
+
+
 def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine(spark, sf_dir).query("EXPLAIN " + TPCH["tpch_q03"])
+    """Facts of the plan that EXPLAIN shows: how often it has an operator, and the filters that reach the scans."""
+    text = engine(spark, sf_dir).query("EXPLAIN " + _EXPLAINED).first()[0]
+    logical, _, physical = text.partition("== Physical Plan ==")
+    facts = {"joins": len(re.findall(r"\bJoin ", logical)), "aggregates": len(re.findall(r"\bAggregate ", logical)), "scans": len(re.findall(r"FileScan parquet", physical)), "estimates": int("sizeInBytes" in logical)}
+    facts |= {f"pushed {c}": int(bool(re.search(rf"PushedFilters: \[[^\]]*\({c},", physical))) for c in ("o_totalprice", "c_nationkey", "c_custkey")}
+    return spark.createDataFrame(list(facts.items()), "fact string, n long")
 
 
 def explain_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine(spark, sf_dir).query("EXPLAIN ANALYZE " + TPCH["tpch_q03"])
+    """What EXPLAIN ANALYZE measures: the rows of the result, of each filter, and whether estimates stand beside them."""
+    text = engine(spark, sf_dir).query("EXPLAIN ANALYZE " + _EXPLAINED).first()[0]
+    filters = sorted(int(n) for n in re.findall(r"Filter \([^\n]*number of output rows: (\d+)", text))
+    rows = [("result", int(re.search(r"result rows: (\d+)", text)[1])), ("fewer filtered", filters[0]), ("more filtered", filters[-1]), ("estimates", int("estimated rows: " in text)), ("build rows", int("build rows: " in text or "ShuffledHashJoin" in text or "SortMergeJoin" in text))]
+    return spark.createDataFrame(rows, "fact string, n long")
 
 
 def checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,13 +248,36 @@ def shell(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..__main__ import Shell
 
     out = io.StringIO()
-    Shell(engine(spark, sf_dir), out).loop([".tables\n", "SELECT r_regionkey, r_name\n", "FROM region ORDER BY 1;\n", ".stats region\n", ".quit\n"])
-    return spark.createDataFrame(list(enumerate(out.getvalue().splitlines())), "line int, text string")
+    Shell(engine(spark, sf_dir), out).loop([".maxrows 100\n", ".tables\n", "SELECT n_nationkey, n_name, n_regionkey\n", "FROM nation ORDER BY 1;\n", ".schema region\n", ".quit\n", "SELECT 1;\n"])
+    return spark.createDataFrame([(k, re.sub(r"\s+", " ", x).strip()) for k, x in enumerate(out.getvalue().splitlines())], "line int, text string")
 
 
 def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine(spark, sf_dir).stats("lineitem")
-
+    """Nulls, least and greatest value exactly; of the estimated distinct values, whether they are within a tenth."""
+    e = engine(spark, sf_dir)
+    found = e.stats("customer")
+    exact = e.tables.frame("customer")
+    counts = exact.agg(*[F.count_distinct(c).alias(c) for c in exact.columns]).first().asDict()
+    known = F.element_at(F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(n))]), F.col("column"))
+    return found.select("column", "nulls", "least", "greatest", (F.abs(F.col("distinct") - known) * 10 <= known + 10).alias("distinct_fits"))
+
+
+_STATS_SQL = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest, true AS distinct_fits FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+_SHELL_SQL = """
+    WITH shown AS (
+        SELECT 1 AS part, row_number() OVER (ORDER BY t) AS k, t AS text FROM (VALUES ('customer'), ('lineitem'), ('nation'), ('orders'), ('part'), ('region'), ('supplier')) x(t)
+        UNION ALL SELECT 2, 1, 'n_nationkey | n_name | n_regionkey' UNION ALL SELECT 2, 2, '-RULE-'
+        UNION ALL SELECT 3, n_nationkey, n_nationkey || ' | ' || n_name || ' | ' || n_regionkey FROM nation
+        UNION ALL SELECT 4, 1, '(' || count(*) || ' rows)' FROM nation UNION ALL SELECT 5, 1, 'region (r_regionkey int, r_name string)'
+    )
+    SELECT CAST(row_number() OVER (ORDER BY part, k) - 1 AS integer) AS line, CASE text WHEN '-RULE-' THEN '-------------+-' || repeat('-', (SELECT greatest(6, max(length(n_name))) FROM nation)) || '-+-------------' ELSE text END AS text FROM shown
+"""
+_EXPLAIN_SQL = "SELECT * FROM (VALUES ('joins', CAST(1 AS bigint)), ('aggregates', 1), ('scans', 2), ('estimates', 1), ('pushed o_totalprice', 1), ('pushed c_nationkey', 1), ('pushed c_custkey', 0)) x(fact, n)"
+_ANALYZE_SQL = """
+    WITH sizes AS (SELECT (SELECT count(*) FROM customer WHERE c_nationkey < 12) AS c, (SELECT count(*) FROM orders WHERE o_totalprice > 100000) AS o)
+    SELECT 'result' AS fact, count(DISTINCT c_mktsegment) AS n FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 100000 AND c_nationkey < 12
+    UNION ALL SELECT 'fewer filtered', least(c, o) FROM sizes UNION ALL SELECT 'more filtered', greatest(c, o) FROM sizes UNION ALL SELECT 'estimates', 1 UNION ALL SELECT 'build rows', 1
+"""
 
 STATEMENTS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "S02_create_table": (create_table, "SELECT CAST(0 AS bigint) AS n, CAST(NULL AS bigint) AS k"),
@@ -245,13 +285,13 @@ STATEMENTS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None
     "S04_insert_values": (insert_values, "SELECT * FROM (VALUES (CAST(1 AS bigint), 'one', CAST(1.5 AS double), DATE '2020-01-01'), (2, NULL, 2, DATE '2021-02-03'), (3, NULL, 0.1, NULL)) AS made(k, label, price, day)"),
     "S05_insert_select": (insert_select, "SELECT o_orderkey AS k, o_orderpriority AS label, o_totalprice AS price, CAST(o_orderdate AS date) AS day FROM orders UNION ALL SELECT -o_orderkey, NULL, o_totalprice * 2, NULL FROM orders WHERE o_totalprice > 200000"),
     "S06_copy_from_csv": (copy_from_csv, "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"),
-    "S10_explain": (explain, None),
-    "S11_explain_analyze": (explain_analyze, None),
+    "S10_explain": (explain, _EXPLAIN_SQL),
+    "S11_explain_analyze": (explain_analyze, _ANALYZE_SQL),
     "S12_checkpoint": (checkpoint, "SELECT CAST(n_nationkey AS bigint) AS k, n_name AS label, CAST(1 AS double) AS price FROM nation UNION ALL SELECT 100 + r_regionkey, r_name, NULL FROM region"),
     "S13_multi_statement": (multi_statement, "SELECT CAST(n_nationkey AS bigint) AS x FROM nation WHERE n_nationkey > 3"),
     "S14_persistence": (persistence, "SELECT p_brand AS brand, count(*) AS n FROM part GROUP BY p_brand"),
-    "S15_shell": (shell, None),
-    "S16_table_stats": (table_stats, None),
+    "S15_shell": (shell, _SHELL_SQL),
+    "S16_table_stats": (table_stats, _STATS_SQL),
 }
 
 

@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from ..errors import EngineError
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; only where that is unset, as in tests, in a temporary folder."""
+
+_own: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, as in tests, a temporary folder, on a local master only: elsewhere nobody else would see it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise EngineError("Io", "spark.checkpoint.dir isn't set; on a cluster it must name a folder that all executors share")
+        at = _own.get(context.applicationId) or _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tessera-"))
+    return at.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 class Folder:
@@ -39,15 +52,16 @@ class Folder:
             stream.close()
 
     def publish(self, name: str, content: str) -> bool:
-        """Write beside, then rename; False if the name is taken."""
-        beside = f"_beside-{uuid.uuid4().hex}"
-        out = self.fs.create(self.path(beside))
+        """Create the file, which only one writer can, and fill it; False if the name is taken."""
+        try:
+            out = self.fs.create(self.path(name), False)
+        except Exception as e:
+            if "exist" in str(e).lower():
+                return False
+            raise
         out.write(bytearray(content.encode()))
         out.close()
-        if not self.fs.exists(self.path(name)) and self.fs.rename(self.path(beside), self.path(name)):
-            return True
-        self.fs.delete(self.path(beside), False)
-        return False
+        return True
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
