@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,16 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_root
+
 #: Rows of one Arrow batch handed to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 512
+_stored: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", at)
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset, on a local master."""
+    at = shared_root(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -36,9 +34,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back: for large tables, which checkpoints hold uncompressed."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Delete what ``stored`` has written so far, for callers that have written their results."""
+    while _stored:
+        fs, path = hadoop(spark, _stored.pop())
+        fs.delete(path, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, f"_{name}"
@@ -135,6 +141,3 @@ def hadoop(spark: SparkSession, path: str):
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
-
-def here(name: str) -> str:
-    return os.path.join(os.path.dirname(__file__), name)
