@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -24,14 +23,10 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows, strings, text_of
 
-#: Bytes of each of a Python worker's caches, of words, of pieces and of token pairs, by an estimate of their entries.
-CACHE_BYTES = 40 << 20
-#: Longer pieces and words aren't kept.
+#: Bytes of each of a Python worker's caches, of pieces and of token pairs, by an estimate of their entries.
+CACHE_BYTES = 64 << 20
+#: Longer pieces aren't kept.
 KEPT = 64
-#: Fixed value: the pattern whose pieces hold a space at their start or among white space alone, so that a
-#: space between two other characters always begins a piece, whatever stands around it.
-SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
 
 _NEVER = 1 << 60
 
@@ -197,31 +192,31 @@ class Prefixes:
 
 
 class Bounded(dict):
-    """key -> value of ``make``, kept for short keys and emptied when CACHE_BYTES are full."""
+    """key -> value of ``make``, kept for short keys in two generations, of which the older goes when half of CACHE_BYTES are full."""
 
     def __init__(self, make: Callable[[str], tuple[int, ...] | None]):
         super().__init__()
-        self.make, self.held = make, 0
+        self.make, self.held, self.old = make, 0, {}
 
     def __missing__(self, key: str) -> tuple[int, ...] | None:
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= KEPT:
             self.held += 180 + 2 * len(key) + 8 * len(value or ())
-            if self.held > CACHE_BYTES:
+            if 2 * self.held > CACHE_BYTES:
+                self.old, self.held = dict(self), 0
                 self.clear()
-                self.held = 0
             self[key] = value
         return value
 
 
-class Encoder:
-    """Texts to ids. Each match of the pattern is encoded by itself; words with the space before them are
-    looked up whole where the pattern allows it."""
+class Encoder(Bounded):
+    """piece -> ids; texts to ids, each match of the pattern encoded by itself."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.v, self.find, self.spaced = vocabulary, regex.compile(pattern).findall, pattern == SPACED
-        self.pieces, self.words = Bounded(self._piece), Bounded(self._word)
-        self.split = re.compile(r"(?<=\S) (?=\S)").split
+        super().__init__(self._piece)
+        self.v, self.find = vocabulary, regex.compile(pattern).findall
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         """A piece that is a token itself is that token."""
@@ -229,22 +224,8 @@ class Encoder:
         t = self.v.ranks.get(data)
         return (t,) if t is not None else tuple(Prefixes(self.v, data).ids())
 
-    def _whole(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
-
-    def _word(self, word: str) -> tuple[int, ...] | None:
-        """Of what follows a space; None if white space meets that space."""
-        return None if not word or word[0].isspace() or word[-1].isspace() else self._whole(" " + word)
-
     def encode(self, text: str) -> array:
-        if not self.spaced:
-            return array("I", self._whole(text))
-        first, *rest = text.split(" ")
-        found = list(map(self.words.__getitem__, rest))
-        if None in found or first[-1:].isspace() or rest and not first:
-            first, *rest = self.split(text)
-            found = [self._whole(" " + w) if self.words[w] is None else self.words[w] for w in rest]
-        return array("I", chain(self._whole(first), chain.from_iterable(found)))
+        return array("I", chain.from_iterable(map(self.__getitem__, self.find(text))))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.v.bytes_of.__getitem__, ids))
