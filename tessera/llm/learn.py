@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +44,15 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, allowed
     return texts, np.array(y, dtype=np.float32), langs
 
 
+def release() -> None:
+    """Hand memory that training has freed back to the system; where the C library can't, it stays."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 class Adam:
     """Adam over a dict of arrays."""
 

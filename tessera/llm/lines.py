@@ -32,8 +32,8 @@ LONG_WORDS = (12, 20)
 _SHINGLE = r"(?s)(?=(.{5}))"
 #: White space of Unicode, the separators of ASCII included; a line feed ends a line.
 _BLANK = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Rows of one long at most that are broadcast (16 MB); larger sides are shuffled.
-SMALL = 1_000_000
+#: Rows of one long at most that are broadcast (some 16 MB in all); larger sides are shuffled.
+SMALL = 250_000
 #: Members that a band may have beside its leader before it is dealt anew, and the count from which a shingle isn't rare.
 CROWD, COMMON = 16, 8
 #: Bits of the first hash that tells lines apart; a second one of 64 bits finds lines that share it.
@@ -144,9 +144,8 @@ def _likely(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     worth = []
     for own in (_WORD_COLUMNS, _DENSE_COLUMNS):
         x, y = _unpacked(own, "x"), _unpacked(own, "y")
-        number = lambda e: sum((c.isNotNull().cast("int") for c in e[1:]), e[0].isNotNull().cast("int"))
         shared = F.size(F.array_except(F.array_intersect(F.array(*x), F.array(*y)), F.array(F.lit(None).cast("int"))))
-        worth.append(F.coalesce(x[0].isNotNull() & y[0].isNotNull() & (shared * 3 >= F.least(number(x), number(y))), F.lit(False)))
+        worth.append(F.coalesce(x[0].isNotNull() & y[0].isNotNull() & (shared * 3 >= F.least(_number(x), _number(y))), F.lit(False)))
     return met.where(worth[0] | worth[1]).select("u", "v")
 
 
@@ -168,46 +167,60 @@ def _pairs(rows: DataFrame, by: str = "t") -> DataFrame:
 
 
 def _finer(crowd: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (t, key, root) of crowded bands with finer bands f by further hashes of their signatures, and the members of short signatures.
+    """Members (t, key, root) of crowded bands with finer bands f by a further hash of their signatures, and the members of short signatures.
 
-    Candidates share a third of a signature. Beside the band's own two hashes that is one more of seven or more, and two
-    more of ten or more: lines of seven to eleven are dealt by each other hash, lines of ten or more by each two. A line of under
-    seven can be like one of a few more, so lines of under ten stay in their band as well.
+    Candidates share a third of a signature: of seven hashes or more one at least beside the band's own two. A line of
+    under seven can be like one of a few more, so lines of under ten stay in their band as well.
     """
     names = [*_WORD_COLUMNS, *_DENSE_COLUMNS]
     rows = crowd.select("t", "key", "root").join(keys.select("key", *names), "key")
-    sizes, ones, twos = [], [], []
+    sizes, entries = [], []
     for k, own in enumerate((_WORD_COLUMNS, _DENSE_COLUMNS)):
         e = _unpacked(own)
-        size = sum((c.isNotNull().cast("int") for c in e[1:]), e[0].isNotNull().cast("int"))
+        sizes.append(_number(e))
         of_band = [F.coalesce(F.col("t") == F.xxhash64(x, y), F.lit(False)) for x, y in zip(e, e[1:])]
         beside = [a | b for a, b in zip([F.lit(False), *of_band], [*of_band, F.lit(False)])]
-        rest = [F.when(~b, c.cast("long") + F.lit(k << 40)) for b, c in zip(beside, e)]
-        rows = rows.withColumns({f"e{k}_{i}": c for i, c in enumerate(rest)} | {f"size{k}": size})
-        rest = [F.col(f"e{k}_{i}") for i in range(SKETCH)]
-        sizes.append(F.col(f"size{k}"))
-        ones += [F.when(sizes[k].between(7, 11) & c.isNotNull(), F.xxhash64("t", c)) for c in rest]
-        twos += [F.when((sizes[k] >= 10) & a.isNotNull() & b.isNotNull(), F.xxhash64("t", a, b)) for i, a in enumerate(rest) for b in rest[i + 1 :]]
-    finer = rows.select("t", "key", "root", F.explode(F.array(*ones, *twos)).alias("f")).where("f is not null")
-    return finer, rows.where(F.greatest(*sizes) < 10).select("t", "key", "root")
+        entries += [F.when(~b & c.isNotNull(), F.xxhash64("t", F.lit(k), c)) for b, c in zip(beside, e)]
+    rows = rows.select("t", "key", "root", F.greatest(*sizes).alias("size"), F.array(*entries).alias("f"))
+    finer = rows.where("size >= 7").select("t", "key", "root", F.explode("f").alias("f")).where("f is not null")
+    return finer, rows.where("size < 10").select("t", "key", "root")
 
 
-def _rare_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (u, v) of keys of ``crowd`` (key, root) that differ in the root and share one of their rarest shingles.
+def _number(entries: list[Column]) -> Column:
+    return sum((c.isNotNull().cast("int") for c in entries[1:]), entries[0].isNotNull().cast("int"))
 
-    Of sets that are similar by 0.8, the shingles taken in any one order, each has among its first fifth and one more
-    a shingle that the other has there too. The order is by count in the crowd, the rare ones first; any order gives all
+
+def _bits(names: list[str]) -> Column:
+    """A signature as bits of a long, one for each entry; entries may share one."""
+    one = [F.when(c.isNotNull(), F.expr("1L")) for c in _unpacked(names)]
+    set_ = [F.coalesce(F.call_function("shiftleft", o, F.pmod(c, F.lit(64))), F.lit(0).cast("long")) for o, c in zip(one, _unpacked(names))]
+    out = set_[0]
+    for b in set_[1:]:
+        out = out.bitwiseOR(b)
+    return out
+
+
+def _rare_pairs(crowd: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (u, v) of keys of ``crowd`` (key, root) that differ in the root, may share a third of their signatures, and share one of their rarest shingles.
+
+    Of sets that are similar by 0.8, the shingles taken in any one order, the smaller has among its first ninth and one more
+    a shingle that the larger has among its first fifth and one more. The order is by count in the crowd, the rare ones first; any order gives all
     pairs, a good one few others. Only counts of common shingles are looked up, so the shingles of a line stay in its task.
+    Signatures are compared as bits first, with room for entries that share a bit.
     """
     own = crowd.join(texts, "key").repartition("key").select("key", "root", F.explode(shingles(F.col("norm"))).alias("s"))
     counts = cut(own.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON))
     ranked = own.join(_if_small(counts, counts.count()), "s", "left").select("key", "root", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "s").alias("r"))
     sets = ranked.groupBy("key", "root").agg(F.sort_array(F.collect_list("r")).alias("r"))  # of one line each
     size = F.size("r")
-    dealt = cut(sets.select("key", "root", size.alias("size"), F.explode(F.slice("r", 1, (size - F.ceil(size * 4 / F.lit(5)) + 1).cast("int"))["s"]).alias("s")))
-    x, y = (dealt.select("s", *[F.col(c).alias(n + c) for c in ("key", "root", "size")]) for n in "xy")
-    met = x.join(y, "s").where("xkey < ykey and xroot <> yroot and least(xsize, ysize) * 5 >= greatest(xsize, ysize) * 4")
-    return met.select(F.col("xkey").alias("u"), F.col("ykey").alias("v"))
+    first = (size - F.ceil(size * 4 / F.lit(5)) + 1).cast("int")
+    marked = keys.select("key", _bits(_WORD_COLUMNS).alias("w"), _bits(_DENSE_COLUMNS).alias("d"))
+    sets = sets.select("key", "root", size.alias("size"), (size - F.ceil(size * 8 / F.lit(9)) + 1).cast("int").alias("short"), F.slice("r", 1, first)["s"].alias("r"))
+    dealt = cut(sets.join(marked, "key").select("key", "root", "size", "short", "w", "d", F.posexplode("r").alias("at", "s")))
+    x, y = (dealt.select("s", *[F.col(c).alias(n + c) for c in ("key", "root", "size", "short", "w", "d", "at")]) for n in "xy")
+    third = lambda c: f"(bit_count(x{c} & y{c}) > 0 and bit_count(x{c} & y{c}) * 3 >= least(bit_count(x{c}), bit_count(y{c})) - 2)"
+    met = x.join(y, "s").where(f"xat < xshort and (xsize < ysize or (xsize = ysize and xkey < ykey)) and xroot <> yroot and xsize * 5 >= ysize * 4 and ({third('w')} or {third('d')})")
+    return met.select(F.least("xkey", "ykey").alias("u"), F.greatest("xkey", "ykey").alias("v"))
 
 
 def classes(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
@@ -227,7 +240,7 @@ def classes(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
         finer, short = _finer(crowd, keys)
         finer = _mixed(finer, "f")
         crowd = cut(finer.where(F.col("n") > CROWD).select("key", "root").unionByName(short.select("key", "root")).distinct())
-        pairs = pairs.unionByName(_pairs(finer, "f")).unionByName(_rare_pairs(crowd, texts))
+        pairs = pairs.unionByName(_pairs(finer, "f")).unionByName(_rare_pairs(crowd, keys, texts))
     found = similar(cut(_likely(pairs.distinct(), keys)), texts)
     named = lambda k: found.join(roots.select(F.col("key").alias(k), F.col("root").alias(k + "root")), k, "left").withColumn(k, F.coalesce(k + "root", k))
     found = named("u").select("u", "v")

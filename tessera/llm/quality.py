@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from .common import map_rows, raw, text_of
-from .learn import Adam, labelled_sample, platt, sigmoid
+from .learn import Adam, labelled_sample, platt, release, sigmoid
 
 #: A filter sees WIDTH bytes, every STRIDE bytes; HALF windows make half a chunk, and chunks overlap by half.
 WIDTH, STRIDE, FILTERS, HALF = 8, 4, 16, 64
@@ -111,7 +111,10 @@ def fit(documents: DataFrame, labels: DataFrame, allowed: Column) -> Model:
     texts, y, _ = labelled_sample(documents, labels, "quality", allowed)
     if not texts:
         return Model(np.zeros((WIDTH, 256, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS, np.float32), 0.0)
-    return train(texts, y)
+    model = train(texts, y)
+    del texts
+    release()
+    return model
 
 
 def score(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
