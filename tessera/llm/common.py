@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,11 +39,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Delete what ``stored`` has written so far, for callers that have written their results."""
-    while _stored:
-        fs, path = hadoop(spark, _stored.pop())
-        fs.delete(path, True)
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``stored`` writes within; for callers that write their result before it."""
+    before = len(_stored)
+    try:
+        yield
+    finally:
+        while len(_stored) > before:
+            fs, path = hadoop(spark, _stored.pop())
+            fs.delete(path, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
