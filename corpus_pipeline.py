@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, lines, simhash, toxicity
-from tessera.llm.common import cut, drop_stored, fold, free_name, hadoop, shared_path
+from tessera.llm.common import cut, fold, free_name, hadoop, shared_path, temporary
 
 
 def _side(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -63,8 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         path = shared_path(spark, f"pipeline-{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        drop_stored(spark)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             fs, old = hadoop(spark, before)
