@@ -192,11 +192,10 @@ def _number(entries: list[Column]) -> Column:
 
 def _bits(names: list[str]) -> Column:
     """A signature as bits of a long, one for each entry; entries may share one."""
-    one = [F.when(c.isNotNull(), F.expr("1L")) for c in _unpacked(names)]
-    set_ = [F.coalesce(F.call_function("shiftleft", o, F.pmod(c, F.lit(64))), F.lit(0).cast("long")) for o, c in zip(one, _unpacked(names))]
-    out = set_[0]
-    for b in set_[1:]:
-        out = out.bitwiseOR(b)
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    out = zero
+    for c in _unpacked(names):
+        out = out.bitwiseOR(F.coalesce(F.call_function("shiftleft", one, F.pmod(c, F.lit(64))), zero))
     return out
 
 
