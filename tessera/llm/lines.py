@@ -190,12 +190,12 @@ def _number(entries: list[Column]) -> Column:
     return sum((c.isNotNull().cast("int") for c in entries[1:]), entries[0].isNotNull().cast("int"))
 
 
-def _bits(names: list[str]) -> Column:
-    """A signature as bits of a long, one for each entry; entries may share one."""
+def _bits(names: list[str], by: int) -> Column:
+    """A signature as bits of a long, one for each entry, by the remainder of its ``by``-th part; entries may share one."""
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     out = zero
     for c in _unpacked(names):
-        out = out.bitwiseOR(F.coalesce(F.call_function("shiftleft", one, F.pmod(c, F.lit(64))), zero))
+        out = out.bitwiseOR(F.coalesce(F.call_function("shiftleft", one, F.pmod(F.floor(c / F.lit(by)).cast("int"), F.lit(64))), zero))
     return out
 
 
@@ -213,12 +213,12 @@ def _rare_pairs(crowd: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFram
     sets = ranked.groupBy("key", "root").agg(F.sort_array(F.collect_list("r")).alias("r"))  # of one line each
     size = F.size("r")
     first = (size - F.ceil(size * 4 / F.lit(5)) + 1).cast("int")
-    marked = keys.select("key", _bits(_WORD_COLUMNS).alias("w"), _bits(_DENSE_COLUMNS).alias("d"))
+    marked = keys.select("key", *[_bits(n, by).alias(c) for n, by, c in ((_WORD_COLUMNS, 1, "w"), (_WORD_COLUMNS, 64, "w2"), (_DENSE_COLUMNS, 1, "d"), (_DENSE_COLUMNS, 64, "d2"))])
     sets = sets.select("key", "root", size.alias("size"), (size - F.ceil(size * 8 / F.lit(9)) + 1).cast("int").alias("short"), F.slice("r", 1, first)["s"].alias("r"))
-    dealt = cut(sets.join(marked, "key").select("key", "root", "size", "short", "w", "d", F.posexplode("r").alias("at", "s")))
-    x, y = (dealt.select("s", *[F.col(c).alias(n + c) for c in ("key", "root", "size", "short", "w", "d", "at")]) for n in "xy")
+    dealt = cut(sets.join(marked, "key").select("key", "root", "size", "short", "w", "w2", "d", "d2", F.posexplode("r").alias("at", "s")))
+    x, y = (dealt.select("s", *[F.col(c).alias(n + c) for c in ("key", "root", "size", "short", "w", "w2", "d", "d2", "at")]) for n in "xy")
     third = lambda c: f"(bit_count(x{c} & y{c}) > 0 and bit_count(x{c} & y{c}) * 3 >= least(bit_count(x{c}), bit_count(y{c})) - 2)"
-    met = x.join(y, "s").where(f"xat < xshort and (xsize < ysize or (xsize = ysize and xkey < ykey)) and xroot <> yroot and xsize * 5 >= ysize * 4 and ({third('w')} or {third('d')})")
+    met = x.join(y, "s").where(f"xat < xshort and (xsize < ysize or (xsize = ysize and xkey < ykey)) and xroot <> yroot and xsize * 5 >= ysize * 4 and (({third('w')} and {third('w2')}) or ({third('d')} and {third('d2')}))")
     return met.select(F.least("xkey", "ykey").alias("u"), F.greatest("xkey", "ykey").alias("v"))
 
 
