@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -51,6 +52,12 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             fs.delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles that nothing refers to any more: its cleaner learns of them from the driver's garbage collection alone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, f"_{name}"

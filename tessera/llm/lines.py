@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, free_name, shared_dir, stored
+from .common import components, cut, free_name, shared_dir, stored, tidy
 
 #: Hashes of a signature; SKETCH - 1 bands. A pair at the threshold shares a band with a probability of 0.985.
 SKETCH = 12
@@ -78,13 +78,18 @@ def _packed(entries: str, names: list[str]) -> list[Column]:
     return [F.shiftleft(at(2 * k).cast("long"), 32).bitwiseOR(low(2 * k)).alias(n) for k, n in enumerate(names)]
 
 
-def _unpacked(names: list[str], of: str = "") -> list[Column]:
-    """The entries as columns, null where there are none."""
-    out = []
-    for n in names:
-        high, low = F.shiftright(F.col(of + n), 32).cast("int"), F.shiftright(F.shiftleft(F.col(of + n), 32), 32).cast("int")
-        out += [high, F.when(low != high, low)]
-    return out
+def _unpacked(keys: DataFrame) -> DataFrame:
+    """(key, w, d) with the entries of both signatures as arrays, empty where a line has no such signature.
+
+    An array is made once a line and read by its places, as expressions over single entries grow past the 8,000
+    bytes of a method that Java compiles, and are interpreted then.
+    """
+    made = []
+    for names, to in ((_WORD_COLUMNS, "w"), (_DENSE_COLUMNS, "d")):
+        halves = [x for n in names for x in (F.shiftright(n, 32), F.shiftright(F.shiftleft(n, 32), 32))]
+        # an entry that stands twice or is null there is none of
+        made.append(F.array_except(F.array(*halves), F.array(F.lit(None).cast("long"))).alias(to))
+    return keys.select("key", *made)
 
 
 def signed(rows: DataFrame) -> DataFrame:
@@ -96,21 +101,26 @@ def signed(rows: DataFrame) -> DataFrame:
     return made.select(*rows.columns, *_packed("by_word", _WORD_COLUMNS), *_packed("dense", _DENSE_COLUMNS))
 
 
-def _bands(names: list[str]) -> list[Column]:
-    """Bands of a signature, null where there are none: each two neighbours; of six or fewer hashes every other two as well, of three or fewer each alone."""
-    e = _unpacked(names)
-    out = [F.when(e[i + 1].isNotNull(), F.xxhash64(e[i], e[i + 1])) for i in range(SKETCH - 1)]
-    out += [F.when(e[i + 2].isNotNull() & e[6].isNull(), F.xxhash64(e[i], e[i + 2])) for i in range(4)]
-    return out + [F.when(e[i].isNotNull() & e[3].isNull(), F.xxhash64(F.lit("one"), e[i])) for i in range(3)]
+def _bands(keys: DataFrame) -> DataFrame:
+    """(key, t) of the bands of both signatures: each two neighbours; of six or fewer hashes every other two as well, of three or fewer each alone."""
+    steps = lambda *n: F.array(*[F.lit(16 * kind + i) for kind, many in enumerate(n) for i in range(many)])
+    at, kind = F.col("step") % 16, F.floor(F.col("step") / 16).cast("int")
+    rows = _unpacked(keys).select("key", F.explode(F.array("w", "d")).alias("e")).withColumn("n", F.size("e")).where("n > 0")
+    rows = rows.select("key", "e", F.explode(F.when(F.col("n") > 6, steps(SKETCH - 1)).when(F.col("n") > 3, steps(5, 4)).otherwise(steps(2, 1, 3))).alias("step"))
+    rows = rows.select("key", F.get("e", at).alias("x"), F.get("e", at + kind + 1).alias("y"), kind.alias("kind"))
+    pair, alone = F.xxhash64("x", "y"), F.xxhash64(F.lit("one"), "x")
+    return rows.where("x is not null and (kind = 2 or y is not null)").select("key", F.when(F.col("kind") == 2, alone).otherwise(pair).alias("t"))
 
 
 def members_of(keys: DataFrame) -> DataFrame:
     """(t, key, leader) of the members of bands of two or more lines, from packed signatures.
 
-    Leaders are partial aggregates, joined back on the band, whose skewed values adaptive execution splits.
+    Leaders are partial aggregates, stored before they are joined back on the band, so that only one shuffle of all bands
+    is held at a time; adaptive execution splits its skewed values.
     """
-    spread = keys.select("key", F.explode(F.array(*_bands(_WORD_COLUMNS), *_bands(_DENSE_COLUMNS))).alias("t")).where("t is not null")
-    leaders = spread.groupBy("t").agg(F.min("key").alias("leader"), F.max("key").alias("other")).where("leader <> other").drop("other")
+    spread = _bands(keys)
+    leaders = stored(spread.groupBy("t").agg(F.min("key").alias("leader"), F.max("key").alias("other")).where("leader <> other").drop("other"), "line-leaders")
+    tidy(keys.sparkSession)
     return spread.join(leaders, "t").select("t", "key", "leader").distinct()
 
 
@@ -138,15 +148,11 @@ def _likely(pairs: DataFrame, keys: DataFrame) -> DataFrame:
 
     Of a pair at the threshold fewer than four of twelve are shared with a probability of under 0.005.
     """
-    names = [*_WORD_COLUMNS, *_DENSE_COLUMNS]
-    side = lambda k, of: keys.select(F.col("key").alias(k), *[F.col(n).alias(of + n) for n in names])
+    arrays = _unpacked(keys)
+    side = lambda k, of: arrays.select(F.col("key").alias(k), F.col("w").alias(of + "w"), F.col("d").alias(of + "d"))
     met = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
-    worth = []
-    for own in (_WORD_COLUMNS, _DENSE_COLUMNS):
-        x, y = _unpacked(own, "x"), _unpacked(own, "y")
-        shared = F.size(F.array_except(F.array_intersect(F.array(*x), F.array(*y)), F.array(F.lit(None).cast("int"))))
-        worth.append(F.coalesce(x[0].isNotNull() & y[0].isNotNull() & (shared * 3 >= F.least(_number(x), _number(y))), F.lit(False)))
-    return met.where(worth[0] | worth[1]).select("u", "v")
+    third = lambda c: f"(size(x{c}) > 0 and size(y{c}) > 0 and size(array_intersect(x{c}, y{c})) * 3 >= least(size(x{c}), size(y{c})))"
+    return met.where(f"{third('w')} or {third('d')}").select("u", "v")
 
 
 def _ordered(x: str, y: str) -> list[Column]:
@@ -172,31 +178,19 @@ def _finer(crowd: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     Candidates share a third of a signature: of seven hashes or more one at least beside the band's own two. A line of
     under seven can be like one of a few more, so lines of under ten stay in their band as well.
     """
-    names = [*_WORD_COLUMNS, *_DENSE_COLUMNS]
-    rows = crowd.select("t", "key", "root").join(keys.select("key", *names), "key")
-    sizes, entries = [], []
-    for k, own in enumerate((_WORD_COLUMNS, _DENSE_COLUMNS)):
-        e = _unpacked(own)
-        sizes.append(_number(e))
-        of_band = [F.coalesce(F.col("t") == F.xxhash64(x, y), F.lit(False)) for x, y in zip(e, e[1:])]
-        beside = [a | b for a, b in zip([F.lit(False), *of_band], [*of_band, F.lit(False)])]
-        entries += [F.when(~b & c.isNotNull(), F.xxhash64("t", F.lit(k), c)) for b, c in zip(beside, e)]
-    rows = rows.select("t", "key", "root", F.greatest(*sizes).alias("size"), F.array(*entries).alias("f"))
-    finer = rows.where("size >= 7").select("t", "key", "root", F.explode("f").alias("f")).where("f is not null")
+    rows = crowd.select("t", "key", "root").join(_unpacked(keys), "key").withColumn("size", F.greatest(F.size("w"), F.size("d")))
+    each = rows.where("size >= 7").select("t", "key", "root", F.posexplode(F.array("w", "d")).alias("k", "e"))
+    each = each.select("t", "key", "root", "k", "e", F.posexplode("e").alias("i", "c"))
+    before, after = F.get("e", F.col("i") - 1), F.get("e", F.col("i") + 1)
+    of_band = (before.isNotNull() & (F.col("t") == F.xxhash64(before, "c"))) | (after.isNotNull() & (F.col("t") == F.xxhash64("c", after)))
+    finer = each.where(~of_band).select("t", "key", "root", F.xxhash64("t", "k", "c").alias("f"))
     return finer, rows.where("size < 10").select("t", "key", "root")
 
 
-def _number(entries: list[Column]) -> Column:
-    return sum((c.isNotNull().cast("int") for c in entries[1:]), entries[0].isNotNull().cast("int"))
-
-
-def _bits(names: list[str], by: int) -> Column:
+def _bits(entries: str, by: int) -> Column:
     """A signature as bits of a long, one for each entry, by the remainder of its ``by``-th part; entries may share one."""
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    out = zero
-    for c in _unpacked(names):
-        out = out.bitwiseOR(F.coalesce(F.call_function("shiftleft", one, F.pmod(F.floor(c / F.lit(by)).cast("int"), F.lit(64))), zero))
-    return out
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.floor(x / F.lit(by)).cast("int"), F.lit(64)))
+    return F.aggregate(entries, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x)))
 
 
 def _rare_pairs(crowd: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
@@ -213,7 +207,7 @@ def _rare_pairs(crowd: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFram
     sets = ranked.groupBy("key", "root").agg(F.sort_array(F.collect_list("r")).alias("r"))  # of one line each
     size = F.size("r")
     first = (size - F.ceil(size * 4 / F.lit(5)) + 1).cast("int")
-    marked = keys.select("key", *[_bits(n, by).alias(c) for n, by, c in ((_WORD_COLUMNS, 1, "w"), (_WORD_COLUMNS, 64, "w2"), (_DENSE_COLUMNS, 1, "d"), (_DENSE_COLUMNS, 64, "d2"))])
+    marked = crowd.select("key").distinct().join(_unpacked(keys), "key").select("key", *[_bits(n, by).alias(c) for n, by, c in (("w", 1, "w"), ("w", 64, "w2"), ("d", 1, "d"), ("d", 64, "d2"))])
     sets = sets.select("key", "root", size.alias("size"), (size - F.ceil(size * 8 / F.lit(9)) + 1).cast("int").alias("short"), F.slice("r", 1, first)["s"].alias("r"))
     dealt = cut(sets.join(marked, "key").select("key", "root", "size", "short", "w", "w2", "d", "d2", F.posexplode("r").alias("at", "s")))
     x, y = (dealt.select("s", *[F.col(c).alias(n + c) for c in ("key", "root", "size", "short", "w", "w2", "d", "d2", "at")]) for n in "xy")
@@ -229,7 +223,10 @@ def classes(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
     """
     beside = members.where("key <> leader")
     led = similar(cut(_likely(beside.select(*_ordered("key", "leader")).distinct(), keys)), texts)
+    tidy(members.sparkSession)
     roots = cut(components(led).withColumnRenamed("node", "key"))
+    del led
+    tidy(members.sparkSession)
     open_ = beside.select("t", "key").join(roots, "key", "left").select("t", "key", F.coalesce("root", "key").alias("root"))
     left = _mixed(open_)
     if left.isEmpty():
@@ -240,7 +237,10 @@ def classes(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
         finer = _mixed(finer, "f")
         crowd = cut(finer.where(F.col("n") > CROWD).select("key", "root").unionByName(short.select("key", "root")).distinct())
         pairs = pairs.unionByName(_pairs(finer, "f")).unionByName(_rare_pairs(crowd, keys, texts))
-    found = similar(cut(_likely(pairs.distinct(), keys)), texts)
+    likely = cut(_likely(pairs.distinct(), keys))
+    del pairs, crowd, left, open_
+    tidy(members.sparkSession)
+    found = similar(likely, texts)
     named = lambda k: found.join(roots.select(F.col("key").alias(k), F.col("root").alias(k + "root")), k, "left").withColumn(k, F.coalesce(k + "root", k))
     found = named("u").select("u", "v")
     upper = cut(components(named("v").select("u", "v")).withColumnRenamed("root", "top"))
@@ -272,7 +272,9 @@ def duplicates(documents: DataFrame) -> DataFrame:
         lines = lines_of(documents, clash)
         keys = stored(_keys(lines), "line-keys")
     full = lines.where("key is not null")
+    tidy(documents.sparkSession)
     members = stored(members_of(keys), "line-bands")
+    tidy(documents.sparkSession)
     wanted = cut(keys.join(members.select("key").distinct(), "key", "left_semi").select("key", F.col("place").alias("first")))
     # of equal lines only the first one's text moves on
     texts = full.select("key", _place(F.col("doc_id"), F.col("line_no")).alias("place"), "norm").join(_if_small(wanted, wanted.count()), "key").where("place = first").select("key", "norm")

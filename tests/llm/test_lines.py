@@ -172,3 +172,24 @@ def test_lines_that_share_a_hash(spark, monkeypatch):
 def test_columns_named_like_helpers_stay(spark):
     df = spark.createDataFrame([(1, "one line\nanother", 1, 2, 3, 4, 5), (2, "One line", 1, 2, 3, 4, 5)], "doc_id long, text string, _row int, _gone int, _new int, _id int, key int")
     assert [tuple(x) for x in lines.deduplicate(df).collect()] == [(1, "one line\nanother", 1, 2, 3, 4, 5)]
+
+
+def test_work_on_signatures_is_compiled(spark):
+    """Java interprets methods of over 8,000 bytes, many times slower; the bands are made once in a plan, not once a side of its join."""
+    keys = lines.stored(lines.signed(spark.createDataFrame([(k, f"some words of line {k % 3} and others") for k in range(9)], "key long, norm string")), "test-keys")
+    package = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package")
+
+    def largest(df):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            made = package.codegenStringSeq(df.select("*")._jdf.queryExecution().executedPlan())
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        return max(made.apply(k)._3().maxMethodCodeSize() for k in range(made.size()))
+
+    members = lines.members_of(keys)
+    pairs = spark.createDataFrame([(0, 3)], "u long, v long")
+    finer, short = lines._finer(spark.createDataFrame([(1, 0, 0)], "t long, key long, root long"), keys)
+    found = list(map(largest, (members, lines._likely(pairs, keys), finer, short)))
+    assert max(found) < 8000, found
+    assert sum("Relation" in x and "w0#" in x for x in members._jdf.queryExecution().optimizedPlan().toString().split("\n")) == 1
