@@ -9,11 +9,31 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: A classifier learns from at most so many labelled rows and bytes of text, taken in the order of a hash of the id.
 SAMPLE_ROWS = 6000
 SAMPLE_BYTES = 32 << 20
 
 
+#: Labels (a long and an int each) that are broadcast to the documents; more are joined by a shuffle.
+SMALL_LABELS = 1_000_000
+
+
+def labelled(documents: DataFrame, labels: DataFrame, label: str, allowed: Column) -> DataFrame:
+    """(doc_id, text, lang, y) of every document with a label that ``allowed``, a condition on the labels, admits.
+
+    Rows whose id or label is null are left out, a null text is empty; of labels repeated for an id the largest counts.
+    """
+    known = cut(
+        labels.where(allowed & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    )
+    lang = documents["lang"].cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
+    docs = documents.select(documents["doc_id"].cast("long").alias("doc_id"), F.coalesce(documents["text"].cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
+    return docs.join(F.broadcast(known) if known.count() <= SMALL_LABELS else known, "doc_id").select("doc_id", "text", "lang", "y")
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray, list[str]]:
     """Whole texts, 0/1 labels and languages of a bounded sample of labelled rows.
 
@@ -74,9 +94,10 @@ def sigmoid(x):
     return 0.5 * (1.0 + np.tanh(0.5 * np.asarray(x, dtype=np.float64)))
 
 
-def platt(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(a, b) so that sigmoid(a * logit + b) is calibrated; Platt's smoothed targets keep a finite when the classes separate."""
-    n1, n0 = float(y.sum()), float(len(y) - y.sum())
+def platt(logits: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[float, float]:
+    """(a, b) so that sigmoid(a * logit + b) is calibrated; Platt's smoothed targets keep a finite when the classes separate. Rows count ``n`` times."""
+    n = np.ones(len(y)) if n is None else n
+    n1, n0 = float((n * y).sum()), float((n * (1 - y)).sum())
     if not n1 or not n0:
         return 1.0, 0.0
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
@@ -84,7 +105,7 @@ def platt(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     x = np.stack([logits.astype(np.float64), np.ones(len(y))], axis=1)
     for _ in range(60):
         p = sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (p - target) + 1e-3 * (w - [1.0, 0.0]))
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (n * (p - target)) + 1e-3 * (w - [1.0, 0.0]))
         w -= step * min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
     return max(float(w[0]), 1e-3), float(w[1])

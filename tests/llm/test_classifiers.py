@@ -86,3 +86,21 @@ def test_sample_passes_over_texts_that_do_not_fit(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     texts, y, langs = learn.labelled_sample(docs, labels, "toxic", F.lit(True), most=1000)
     assert len(texts) == len(y) == len(langs) == 36 and {len(t) for t in texts} == {10}
+
+
+def test_toxicity_learns_from_rows_beyond_the_starting_sample(spark):
+    """A word that only rows beyond the first 6,000, in the order of the ids' hash, mark as toxic is learned."""
+    ids = [x.id for x in spark.range(9000).orderBy(F.xxhash64("id"), "id").collect()]
+    r = random.Random(3)
+    docs, labels = [], []
+    for at, i in enumerate(ids):
+        bad = at % 5 == 0
+        t = [*prose(r, 8).split(), ("vile" if at < 6500 else "scum") if bad else "tree"]
+        r.shuffle(t)
+        docs.append((i, " ".join(t), "en"))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    own = spark.createDataFrame([(k, f"the anat {w} of lomin", "en") for k, w in enumerate(["vile", "scum", "tree"])], "doc_id long, text string, lang string")
+    got = [x.score for x in toxicity.score(own, model).orderBy("doc_id").collect()]
+    assert got[0] > 0.7 and got[1] > 0.7 and got[2] < 0.3, got
