@@ -36,6 +36,8 @@ _BLANK = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2
 SMALL = 250_000
 #: Members that a band may have beside its leader before it is dealt anew, and the count from which a shingle isn't rare.
 CROWD, COMMON = 16, 8
+#: Parts of a crowd by a hash of the line, the rounds at most in which they meet, and the pairs by shingles, for a row dealt, that ask for one more.
+DEALS, ROUNDS, ROUND_PAIRS = 16, 4, 32
 #: Bits of the first hash that tells lines apart; a second one of 64 bits finds lines that share it.
 KEY_BITS = 64
 _LINES = 4294967296  # places of lines within a document
@@ -193,33 +195,77 @@ def _bits(entries: str, by: int) -> Column:
     return F.aggregate(entries, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x)))
 
 
-def _rare_pairs(crowd: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (u, v) of keys of ``crowd`` (key, root) that differ in the root, may share a third of their signatures, and share one of their rarest shingles.
+def _dealt(crowd: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, size, short, at, s, and the signatures as bits) of the rarest shingles s of the lines of ``crowd`` (key).
 
     Of sets that are similar by 0.8, the shingles taken in any one order, the smaller has among its first ninth and one more
-    a shingle that the larger has among its first fifth and one more. The order is by count in the crowd, the rare ones first; any order gives all
-    pairs, a good one few others. Only counts of common shingles are looked up, so the shingles of a line stay in its task.
-    Signatures are compared as bits first, with room for entries that share a bit.
+    (places ``at`` under ``short``) a shingle that the larger has among its first fifth and one more. The order is by count in the crowd, the rare ones
+    first; any order gives all pairs, a good one few others. Only counts of common shingles are looked up, so the shingles of a line stay in its task.
     """
-    own = crowd.join(texts, "key").repartition("key").select("key", "root", F.explode(shingles(F.col("norm"))).alias("s"))
+    own = crowd.join(texts, "key").repartition("key").select("key", F.explode(shingles(F.col("norm"))).alias("s"))
     counts = cut(own.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON))
-    ranked = own.join(_if_small(counts, counts.count()), "s", "left").select("key", "root", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "s").alias("r"))
-    sets = ranked.groupBy("key", "root").agg(F.sort_array(F.collect_list("r")).alias("r"))  # of one line each
+    ranked = own.join(_if_small(counts, counts.count()), "s", "left").select("key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "s").alias("r"))
+    sets = ranked.groupBy("key").agg(F.sort_array(F.collect_list("r")).alias("r"))  # of one line each
     size = F.size("r")
     first = (size - F.ceil(size * 4 / F.lit(5)) + 1).cast("int")
-    marked = crowd.select("key").distinct().join(_unpacked(keys), "key").select("key", *[_bits(n, by).alias(c) for n, by, c in (("w", 1, "w"), ("w", 64, "w2"), ("d", 1, "d"), ("d", 64, "d2"))])
-    sets = sets.select("key", "root", size.alias("size"), (size - F.ceil(size * 8 / F.lit(9)) + 1).cast("int").alias("short"), F.slice("r", 1, first)["s"].alias("r"))
-    dealt = cut(sets.join(marked, "key").select("key", "root", "size", "short", "w", "w2", "d", "d2", F.posexplode("r").alias("at", "s")))
-    x, y = (dealt.select("s", *[F.col(c).alias(n + c) for c in ("key", "root", "size", "short", "w", "w2", "d", "d2", "at")]) for n in "xy")
+    marked = crowd.join(_unpacked(keys), "key").select("key", *[_bits(n, by).alias(c) for n, by, c in (("w", 1, "w"), ("w", 64, "w2"), ("d", 1, "d"), ("d", 64, "d2"))])
+    sets = sets.select("key", size.alias("size"), (size - F.ceil(size * 8 / F.lit(9)) + 1).cast("int").alias("short"), F.slice("r", 1, first)["s"].alias("r"))
+    return cut(sets.join(marked, "key").select("key", "size", "short", "w", "w2", "d", "d2", F.posexplode("r").alias("at", "s")))
+
+
+def _rare_pairs(dealt: DataFrame, crowd: DataFrame, low: int = 0, high: int = DEALS) -> DataFrame:
+    """Pairs (u, v) of lines that differ in the root (``crowd``: key, root), may share a third of their signatures, and share one of their rarest shingles.
+
+    Only those whose smaller line is of the deals ``low`` up to ``high``, of DEALS in all. Signatures are compared as bits first, with room for entries that share a bit.
+    """
+    rooted = dealt.join(_if_small(crowd, crowd.count()), "key")
+    columns = ("key", "root", "size", "short", "w", "w2", "d", "d2", "at")
+    x, y = (rooted.select("s", *[F.col(c).alias(n + c) for c in columns]) for n in "xy")
+    x = x.where((F.col("xat") < F.col("xshort")) & F.pmod(F.xxhash64("xkey"), F.lit(DEALS)).between(low, high - 1))
     third = lambda c: f"(bit_count(x{c} & y{c}) > 0 and bit_count(x{c} & y{c}) * 3 >= least(bit_count(x{c}), bit_count(y{c})) - 2)"
-    met = x.join(y, "s").where(f"xat < xshort and (xsize < ysize or (xsize = ysize and xkey < ykey)) and xroot <> yroot and xsize * 5 >= ysize * 4 and (({third('w')} and {third('w2')}) or ({third('d')} and {third('d2')}))")
+    met = x.join(y, "s").where(f"(xsize < ysize or (xsize = ysize and xkey < ykey)) and xroot <> yroot and xsize * 5 >= ysize * 4 and (({third('w')} and {third('w2')}) or ({third('d')} and {third('d2')}))")
     return met.select(F.least("xkey", "ykey").alias("u"), F.greatest("xkey", "ykey").alias("v"))
 
 
+def _rounds(dealt: DataFrame) -> list[tuple[int, int]]:
+    """Deals (low, high) of the rounds in which crowds meet: all in one if they make few pairs, else one deal first, which links
+    most of a group of near copies, then the others in up to ROUNDS - 1."""
+    met, rows = dealt.groupBy("s").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
+    rounds = int(min(ROUNDS - 1, (met or 0) / max(1.0, ROUND_PAIRS * (rows or 0))))
+    if not rounds:
+        return [(0, DEALS)]
+    ends = [1 + (DEALS - 1) * k // rounds for k in range(rounds + 1)]
+    return [(0, 1), *zip(ends, ends[1:])]
+
+
+def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``roots`` (key, root) with the components that the links ``found`` (u, v) join made one."""
+    named = lambda k: found.join(roots.select(F.col("key").alias(k), F.col("root").alias(k + "root")), k, "left").withColumn(k, F.coalesce(k + "root", k))
+    found = named("u").select("u", "v")
+    upper = cut(components(named("v").select("u", "v")).withColumnRenamed("root", "top"))
+    every = roots.unionByName(upper.select(F.col("node").alias("key"), F.col("node").alias("root"))).distinct()
+    return every.join(upper, F.col("root") == F.col("node"), "left").groupBy("key").agg(F.min(F.coalesce("top", "root")).alias("root"))
+
+
+def _linked(roots: DataFrame, pairs: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """``roots`` after the links among ``pairs``; what is shuffled for them goes before the next ones."""
+    likely = cut(_likely(pairs.distinct(), keys))
+    tidy(keys.sparkSession)
+    found = similar(likely, texts)
+    del likely, pairs
+    if found.isEmpty():
+        return roots
+    roots = cut(_merged(roots, found))
+    del found
+    tidy(keys.sparkSession)
+    return roots
+
+
 def classes(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
     """(key, root): the component of every linked key, root its smallest key.
 
     ``members`` (t, key, leader) of bands, ``keys`` with packed signatures, ``texts`` (key, norm) of the members.
+    Crowds meet in rounds; lines that an earlier link or round put into one component aren't compared again.
     """
     beside = members.where("key <> leader")
     led = similar(cut(_likely(beside.select(*_ordered("key", "leader")).distinct(), keys)), texts)
@@ -232,20 +278,23 @@ def classes(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
     if left.isEmpty():
         return roots
     pairs, crowd = _pairs(left), left.where(F.col("n") > CROWD)
-    if not crowd.isEmpty():
+    crowded = not crowd.isEmpty()
+    if crowded:
         finer, short = _finer(crowd, keys)
         finer = _mixed(finer, "f")
-        crowd = cut(finer.where(F.col("n") > CROWD).select("key", "root").unionByName(short.select("key", "root")).distinct())
-        pairs = pairs.unionByName(_pairs(finer, "f")).unionByName(_rare_pairs(crowd, keys, texts))
-    likely = cut(_likely(pairs.distinct(), keys))
-    del pairs, crowd, left, open_
+        crowd = cut(finer.where(F.col("n") > CROWD).select("key").unionByName(short.select("key")).distinct())
+        pairs = pairs.unionByName(_pairs(finer, "f"))
+        del finer, short
+    roots = _linked(roots, pairs, keys, texts)
+    del pairs, left, open_
     tidy(members.sparkSession)
-    found = similar(likely, texts)
-    named = lambda k: found.join(roots.select(F.col("key").alias(k), F.col("root").alias(k + "root")), k, "left").withColumn(k, F.coalesce(k + "root", k))
-    found = named("u").select("u", "v")
-    upper = cut(components(named("v").select("u", "v")).withColumnRenamed("root", "top"))
-    every = roots.unionByName(upper.select(F.col("node").alias("key"), F.col("node").alias("root"))).distinct()
-    return every.join(upper, F.col("root") == F.col("node"), "left").groupBy("key").agg(F.min(F.coalesce("top", "root")).alias("root"))
+    if crowded:
+        dealt = _dealt(crowd, keys, texts)
+        tidy(members.sparkSession)
+        for low, high in _rounds(dealt):
+            now = cut(crowd.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root")))
+            roots = _linked(roots, _rare_pairs(dealt, now, low, high), keys, texts)
+    return roots
 
 
 def _keys(lines: DataFrame) -> DataFrame:

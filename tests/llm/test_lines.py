@@ -193,3 +193,23 @@ def test_work_on_signatures_is_compiled(spark):
     found = list(map(largest, (members, lines._likely(pairs, keys), finer, short)))
     assert max(found) < 8000, found
     assert sum("Relation" in x and "w0#" in x for x in members._jdf.queryExecution().optimizedPlan().toString().split("\n")) == 1
+
+
+def test_crowds_meet_in_rounds(spark, monkeypatch):
+    """Lines that share a passage are compared in rounds, none of which verifies more than a part of their pairs."""
+    r = random.Random(21)
+    word = lambda n: "".join(r.choice("abcdefghilmnoprstu") for _ in range(n))
+    passage = [word(6) for _ in range(24)]
+    texts = []
+    for k in range(150):
+        w = list(passage)
+        w[r.randrange(24)] = word(6)
+        texts.append((k, " ".join(w)))
+    met, similar_ = [], lines.similar
+    monkeypatch.setattr(lines, "similar", lambda pairs, texts: met.append(pairs.count()) or similar_(pairs, texts))
+    monkeypatch.setattr(lines, "ROUND_PAIRS", 0, raising=False)
+    got = marks(lines.duplicates(spark.createDataFrame(texts, "doc_id long, text string")))
+    want = brute(texts)
+    print("pairs verified", met, "classes", len(set(want.values())))
+    assert {k: v[0] for k, v in got.items()} == want
+    assert len(met) > 2 and max(met[2:]) * 3 < len(texts) * (len(texts) - 1) // 2
