@@ -9,10 +9,9 @@ shingles have an exact Jaccard similarity of 0.8 or more are linked, and of
 each component of links the first line stays.
 
 The smallest key of a band leads it: every member meets the leader. Members
-that aren't linked with it meet one another: in small bands as pairs; crowded ones
-are dealt by a further hash of the signatures, and where that leaves crowds
-(of any size) their members meet by rare shingles, as similar lines have one of
-their fifth of rarest shingles in common.
+that aren't linked with it all meet one another, by sketches of their shingles of which a
+pair at the threshold never differs in too many bits; very large bands are
+dealt by a further hash of the signatures first.
 """
 
 from __future__ import annotations
@@ -34,10 +33,12 @@ _SHINGLE = r"(?s)(?=(.{5}))"
 _BLANK = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Rows of one long at most that are broadcast (some 16 MB in all); larger sides are shuffled.
 SMALL = 250_000
-#: Members that a band may have beside its leader before it is dealt anew, and the count from which a shingle isn't rare.
-CROWD, COMMON = 16, 8
-#: Parts of a crowd by a hash of the line, the rounds at most in which they meet, and the pairs by shingles, for a row dealt, that ask for one more.
-DEALS, ROUNDS, ROUND_PAIRS = 16, 4, 32
+#: Members that a band may have beside its leader before it is dealt anew.
+CROWD = 4_000
+#: Longs of a sketch of a line's shingles.
+PARITY = 16
+#: Parts of the members by a hash of the line, the rounds at most in which they meet, and the pairs of a row that ask for one more.
+DEALS, ROUNDS, ROUND_PAIRS = 256, 4, 256
 #: Bits of the first hash that tells lines apart; a second one of 64 bits finds lines that share it.
 KEY_BITS = 64
 _LINES = 4294967296  # places of lines within a document
@@ -167,13 +168,6 @@ def _mixed(rows: DataFrame, by: str = "t") -> DataFrame:
     return cut(rows.join(held.select(by, "n"), by))
 
 
-def _pairs(rows: DataFrame, by: str = "t") -> DataFrame:
-    """All pairs (u, v) of a band's keys that differ in the root; for bands of CROWD rows at most."""
-    few = rows.where(F.col("n") <= CROWD)
-    x, y = (few.select(by, F.col("key").alias(n), F.col("root").alias(n + "root")) for n in "xy")
-    return x.join(y, by).where("x < y and xroot <> yroot").select(F.col("x").alias("u"), F.col("y").alias("v"))
-
-
 def _finer(crowd: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (t, key, root) of crowded bands with finer bands f by a further hash of their signatures, and the members of short signatures.
 
@@ -189,53 +183,44 @@ def _finer(crowd: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return finer, rows.where("size < 10").select("t", "key", "root")
 
 
-def _bits(entries: str, by: int) -> Column:
-    """A signature as bits of a long, one for each entry, by the remainder of its ``by``-th part; entries may share one."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.floor(x / F.lit(by)).cast("int"), F.lit(64)))
-    return F.aggregate(entries, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x)))
-
-
-def _dealt(crowd: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, size, short, at, s, and the signatures as bits) of the rarest shingles s of the lines of ``crowd`` (key).
+def _sketches(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the lines of ``members`` (t, key): (key, size, o0.., ts, and the packed signatures).
 
-    Of sets that are similar by 0.8, the shingles taken in any one order, the smaller has among its first ninth and one more
-    (places ``at`` under ``short``) a shingle that the larger has among its first fifth and one more. The order is by count in the crowd, the rare ones
-    first; any order gives all pairs, a good one few others. Only counts of common shingles are looked up, so the shingles of a line stay in its task.
+    ``size`` counts the shingles; a bit of o0.. tells whether an odd number of them hash to it, so two lines differ in no more
+    bits than in shingles. ``ts`` are the line's bands. The shingles of a line stay in its task.
     """
-    own = crowd.join(texts, "key").repartition("key").select("key", F.explode(shingles(F.col("norm"))).alias("s"))
-    counts = cut(own.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON))
-    ranked = own.join(_if_small(counts, counts.count()), "s", "left").select("key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "s").alias("r"))
-    sets = ranked.groupBy("key").agg(F.sort_array(F.collect_list("r")).alias("r"))  # of one line each
-    size = F.size("r")
-    first = (size - F.ceil(size * 4 / F.lit(5)) + 1).cast("int")
-    marked = crowd.join(_unpacked(keys), "key").select("key", *[_bits(n, by).alias(c) for n, by, c in (("w", 1, "w"), ("w", 64, "w2"), ("d", 1, "d"), ("d", 64, "d2"))])
-    sets = sets.select("key", size.alias("size"), (size - F.ceil(size * 8 / F.lit(9)) + 1).cast("int").alias("short"), F.slice("r", 1, first)["s"].alias("r"))
-    return cut(sets.join(marked, "key").select("key", "size", "short", "w", "w2", "d", "d2", F.posexplode("r").alias("at", "s")))
+    own = members.groupBy("key").agg(F.collect_set("t").alias("ts"))
+    each = own.select("key").join(texts, "key").repartition("key").select("key", F.explode(shingles(F.col("norm"))).alias("s"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("s", 8).bitwiseAND(F.lit(63)).cast("int"))
+    odd = [F.bit_xor(F.when(F.pmod("s", F.lit(PARITY)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"o{k}") for k in range(PARITY)]
+    made = each.groupBy("key").agg(F.count("*").alias("size"), *odd)
+    return stored(made.join(own, "key").join(keys.select("key", *_WORD_COLUMNS, *_DENSE_COLUMNS), "key"), "line-sketches")
 
 
-def _rare_pairs(dealt: DataFrame, crowd: DataFrame, low: int = 0, high: int = DEALS) -> DataFrame:
-    """Pairs (u, v) of lines that differ in the root (``crowd``: key, root), may share a third of their signatures, and share one of their rarest shingles.
+def _meeting(members: DataFrame, sketches: DataFrame, roots: DataFrame, low: int = 0, high: int = DEALS) -> DataFrame:
+    """Pairs (u, v) of lines of a band that differ in the root and, by size and sketch, may be similar by 0.8 or more.
 
-    Only those whose smaller line is of the deals ``low`` up to ``high``, of DEALS in all. Signatures are compared as bits first, with room for entries that share a bit.
+    Sets that are so similar differ in a ninth of the sum of their sizes at most. A pair is made in the first band alone that it shares,
+    and only if its smaller line is of the deals ``low`` up to ``high``, of DEALS in all.
     """
-    rooted = dealt.join(_if_small(crowd, crowd.count()), "key")
-    columns = ("key", "root", "size", "short", "w", "w2", "d", "d2", "at")
-    x, y = (rooted.select("s", *[F.col(c).alias(n + c) for c in columns]) for n in "xy")
-    x = x.where((F.col("xat") < F.col("xshort")) & F.pmod(F.xxhash64("xkey"), F.lit(DEALS)).between(low, high - 1))
-    third = lambda c: f"(bit_count(x{c} & y{c}) > 0 and bit_count(x{c} & y{c}) * 3 >= least(bit_count(x{c}), bit_count(y{c})) - 2)"
-    met = x.join(y, "s").where(f"(xsize < ysize or (xsize = ysize and xkey < ykey)) and xroot <> yroot and xsize * 5 >= ysize * 4 and (({third('w')} and {third('w2')}) or ({third('d')} and {third('d2')}))")
+    odd = [f"o{k}" for k in range(PARITY)]
+    rooted = sketches.select("key", "size", "ts", *odd).join(_if_small(roots, roots.count()), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows = members.join(rooted, "key")
+    x, y = (rows.select("t", *[F.col(c).alias(n + c) for c in ("key", "root", "size", "ts", *odd)]) for n in "xy")
+    if (low, high) != (0, DEALS):
+        x = x.where(F.pmod(F.xxhash64("xkey"), F.lit(DEALS)).between(low, high - 1))
+    differ = " + ".join(f"bit_count(x{c} ^ y{c})" for c in odd)
+    met = x.join(y, "t").where(f"xroot <> yroot and (xsize < ysize or (xsize = ysize and xkey < ykey)) and xsize * 5 >= ysize * 4 and ({differ}) * 9 <= xsize + ysize and array_min(array_intersect(xts, yts)) = t")
     return met.select(F.least("xkey", "ykey").alias("u"), F.greatest("xkey", "ykey").alias("v"))
 
 
-def _rounds(dealt: DataFrame) -> list[tuple[int, int]]:
-    """Deals (low, high) of the rounds in which crowds meet: all in one if they make few pairs, else one deal first, which links
-    most of a group of near copies, then the others in up to ROUNDS - 1."""
-    met, rows = dealt.groupBy("s").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
+def _rounds(members: DataFrame) -> list[tuple[int, int]]:
+    """Deals (low, high) of the rounds in which the members of bands meet: all in one if they make few pairs, else one deal first, which links
+    most of a group of near copies, then ever more of the others, in ROUNDS rounds at most."""
+    met, rows = members.groupBy("t").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
     rounds = int(min(ROUNDS - 1, (met or 0) / max(1.0, ROUND_PAIRS * (rows or 0))))
-    if not rounds:
-        return [(0, DEALS)]
-    ends = [1 + (DEALS - 1) * k // rounds for k in range(rounds + 1)]
-    return [(0, 1), *zip(ends, ends[1:])]
+    ends = [0, *(round(DEALS ** (k / rounds)) for k in range(rounds))] if rounds else [0]
+    return list(zip(ends, [*ends[1:], DEALS]))
 
 
 def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
@@ -249,7 +234,7 @@ def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
 
 def _linked(roots: DataFrame, pairs: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
     """``roots`` after the links among ``pairs``; what is shuffled for them goes before the next ones."""
-    likely = cut(_likely(pairs.distinct(), keys))
+    likely = cut(_likely(pairs, keys))
     tidy(keys.sparkSession)
     found = similar(likely, texts)
     del likely, pairs
@@ -265,7 +250,7 @@ def classes(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
     """(key, root): the component of every linked key, root its smallest key.
 
     ``members`` (t, key, leader) of bands, ``keys`` with packed signatures, ``texts`` (key, norm) of the members.
-    Crowds meet in rounds; lines that an earlier link or round put into one component aren't compared again.
+    Members meet in rounds; lines that an earlier link or round put into one component aren't compared again.
     """
     beside = members.where("key <> leader")
     led = similar(cut(_likely(beside.select(*_ordered("key", "leader")).distinct(), keys)), texts)
@@ -277,23 +262,17 @@ def classes(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
     left = _mixed(open_)
     if left.isEmpty():
         return roots
-    pairs, crowd = _pairs(left), left.where(F.col("n") > CROWD)
-    crowded = not crowd.isEmpty()
-    if crowded:
+    crowd = left.where(F.col("n") > CROWD)
+    met = left.where(F.col("n") <= CROWD).select("t", "key")
+    if not crowd.isEmpty():
         finer, short = _finer(crowd, keys)
-        finer = _mixed(finer, "f")
-        crowd = cut(finer.where(F.col("n") > CROWD).select("key").unionByName(short.select("key")).distinct())
-        pairs = pairs.unionByName(_pairs(finer, "f"))
-        del finer, short
-    roots = _linked(roots, pairs, keys, texts)
-    del pairs, left, open_
+        met = met.unionByName(_mixed(finer, "f").select(F.col("f").alias("t"), "key")).unionByName(short.select("t", "key"))
+    met = stored(met.distinct(), "line-crowds")
+    del left, open_, crowd
+    sketches = _sketches(met, keys, texts)
     tidy(members.sparkSession)
-    if crowded:
-        dealt = _dealt(crowd, keys, texts)
-        tidy(members.sparkSession)
-        for low, high in _rounds(dealt):
-            now = cut(crowd.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root")))
-            roots = _linked(roots, _rare_pairs(dealt, now, low, high), keys, texts)
+    for low, high in _rounds(met):
+        roots = _linked(roots, _meeting(met, sketches, roots, low, high), sketches, texts)
     return roots
 
 
@@ -324,10 +303,11 @@ def duplicates(documents: DataFrame) -> DataFrame:
     tidy(documents.sparkSession)
     members = stored(members_of(keys), "line-bands")
     tidy(documents.sparkSession)
-    wanted = cut(keys.join(members.select("key").distinct(), "key", "left_semi").select("key", F.col("place").alias("first")))
+    held = stored(keys.join(members.select("key").distinct(), "key", "left_semi").select("key", F.col("place").alias("first"), *_WORD_COLUMNS, *_DENSE_COLUMNS), "line-members")
+    wanted = held.select("key", "first")
     # of equal lines only the first one's text moves on
     texts = full.select("key", _place(F.col("doc_id"), F.col("line_no")).alias("place"), "norm").join(_if_small(wanted, wanted.count()), "key").where("place = first").select("key", "norm")
-    roots = cut(classes(members, keys, stored(texts.distinct(), "line-texts")))
+    roots = cut(classes(members, held, stored(texts.distinct(), "line-texts")))
     linked = keys.select("key", "place").join(roots, "key")
     first = linked.groupBy("root").agg(F.min("place").alias("first"))
     moved = cut(linked.join(first, "root").select("key", "first"))

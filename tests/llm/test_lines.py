@@ -213,3 +213,29 @@ def test_crowds_meet_in_rounds(spark, monkeypatch):
     print("pairs verified", met, "classes", len(set(want.values())))
     assert {k: v[0] for k, v in got.items()} == want
     assert len(met) > 2 and max(met[2:]) * 3 < len(texts) * (len(texts) - 1) // 2
+
+
+def test_unlike_lines_of_a_crowd_are_told_apart_by_sketches(spark, monkeypatch):
+    """Of lines that share a passage few but those that are linked are compared by their texts, and every link is found, dealt anew or not."""
+    r = random.Random(31)
+    word = lambda n: "".join(r.choice("abcdefghilmnoprstu") for _ in range(n))
+    passage = [word(6) for _ in range(24)]
+    texts = [(k, " ".join(passage + [word(6) for _ in range(14)])) for k in range(160)]
+    texts += [(160 + k, f"{texts[3 * k + 5][1]} more") for k in range(20)]
+    want, similar_ = brute(texts), lines.similar
+    for crowd in (lines.CROWD, 16):
+        met = []
+        monkeypatch.setattr(lines, "CROWD", crowd)
+        monkeypatch.setattr(lines, "similar", lambda pairs, texts: met.append(pairs.count()) or similar_(pairs, texts))
+        got = marks(lines.duplicates(spark.createDataFrame(texts, "doc_id long, text string")))
+        print("pairs compared", met)
+        assert {k: v[0] for k, v in got.items()} == want and len(set(want.values())) == 160
+        assert sum(met[1:]) < 100
+
+
+def test_rounds_take_every_deal_once(spark, monkeypatch):
+    members = spark.createDataFrame([(k % 3, k) for k in range(3000)], "t long, key long")
+    for pairs in (0, 300, 400, 1500):
+        monkeypatch.setattr(lines, "ROUND_PAIRS", pairs)
+        rounds = lines._rounds(members)
+        assert [k for low, high in rounds for k in range(low, high)] == list(range(lines.DEALS)) and 1 <= len(rounds) <= lines.ROUNDS
