@@ -56,6 +56,15 @@ def test_filters_and_columns_reach_the_scan(engine):
     assert "ReadSchema: struct<l_quantity:double,l_discount:double,l_shipdate:timestamp_ntz>" in plan
 
 
+@pytest.mark.parametrize("offset", [1, 100, 5_000, 1_000_000])
+def test_rows_after_an_offset_are_sorted_in_many_tasks(engine, con, offset):
+    """Null keys, ties and an invisible key; no exchange brings all rows into one partition."""
+    sql = f"SELECT l_orderkey, CASE WHEN l_linenumber > 1 THEN l_quantity END AS x FROM lineitem ORDER BY x DESC NULLS FIRST, l_orderkey, l_linenumber OFFSET {offset}"
+    df = engine.query(sql)
+    assert [tuple(r) for r in df.collect()] == con.execute(sql).fetchall()
+    assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nothing_of_the_engine_needs_the_text_operators():
     import subprocess
     import sys
