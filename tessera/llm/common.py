@@ -35,7 +35,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back: for large tables, which checkpoints hold uncompressed."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _stored.append(path)
     return df.sparkSession.read.parquet(path)
 

@@ -33,6 +33,8 @@ _SHINGLE = r"(?s)(?=(.{5}))"
 _BLANK = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Rows of one long at most that are broadcast (some 16 MB in all); larger sides are shuffled.
 SMALL = 250_000
+#: Bits of a filter, as powers of two: sixteen a value between these bounds, so 16 MB at most are broadcast. A bitmap of Spark's has 2^15.
+FILTER_BITS, BITMAP = (20, 27), 15
 #: Members that a band may have beside its leader before it is dealt anew.
 CROWD = 4_000
 #: Longs of a sketch of a line's shingles.
@@ -49,6 +51,22 @@ def _if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df
 
 
+def among(rows: DataFrame, names: list[str], held: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``names`` aren't a row of ``held`` (the same names): fewer rows are shuffled to the join that follows.
+
+    A broadcast of bitmaps by hash; of other rows a sixteenth passes, more only beyond 8 million rows of ``held``.
+    """
+    low, high = FILTER_BITS
+    power = max(low, min(high, (16 * held.count()).bit_length()))
+    bit = F.xxhash64(F.lit(power), *names).bitwiseAND(F.lit((1 << power) - 1))
+    own, bits = free_name(rows, "bucket"), free_name(rows, "bits")
+    bucket, at = F.shiftright(bit, BITMAP).alias(own), bit.bitwiseAND(F.lit((1 << BITMAP) - 1))
+    maps = held.select(bucket, at.alias("at")).repartition(own).groupBy(own).agg(F.bitmap_construct_agg("at").alias(bits))
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.select("*", bucket).join(F.broadcast(maps), own)
+    return marked.where(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1).select(*rows.columns)
+
+
 def lines_of(documents: DataFrame, clash: DataFrame | None = None) -> DataFrame:
     """(doc_id, row, line_no, norm, key, check) of every line; ``row`` tells rows that share an id apart, key is null for blank lines.
 
@@ -119,12 +137,12 @@ def members_of(keys: DataFrame) -> DataFrame:
     """(t, key, leader) of the members of bands of two or more lines, from packed signatures.
 
     Leaders are partial aggregates, stored before they are joined back on the band, so that only one shuffle of all bands
-    is held at a time; adaptive execution splits its skewed values.
+    is held at a time, and only the bands that may have one are shuffled again; adaptive execution splits its skewed values.
     """
     spread = _bands(keys)
     leaders = stored(spread.groupBy("t").agg(F.min("key").alias("leader"), F.max("key").alias("other")).where("leader <> other").drop("other"), "line-leaders")
     tidy(keys.sparkSession)
-    return spread.join(leaders, "t").select("t", "key", "leader").distinct()
+    return among(spread, ["t"], leaders.select("t")).join(leaders, "t").select("t", "key", "leader").distinct()
 
 
 def _place(doc_id: Column, line_no: Column) -> Column:
@@ -140,6 +158,7 @@ def shingles(x: Column) -> Column:
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of distinct ``pairs`` (u, v) those whose lines have an exact Jaccard similarity of 0.8 or more."""
+    texts = among(texts, ["key"], pairs.select(F.explode(F.array("u", "v")).alias("key")))
     side = lambda k, n: texts.select(F.col("key").alias(k), F.col("norm").alias(n))
     both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
     sets = both.select("u", "v", shingles(F.col("a")).alias("a"), shingles(F.col("b")).alias("b"))
@@ -190,7 +209,7 @@ def _sketches(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFram
     bits than in shingles. ``ts`` are the line's bands. The shingles of a line stay in its task.
     """
     own = members.groupBy("key").agg(F.collect_set("t").alias("ts"))
-    each = own.select("key").join(texts, "key").repartition("key").select("key", F.explode(shingles(F.col("norm"))).alias("s"))
+    each = own.select("key").join(among(texts, ["key"], members.select("key")), "key").repartition("key").select("key", F.explode(shingles(F.col("norm"))).alias("s"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("s", 8).bitwiseAND(F.lit(63)).cast("int"))
     odd = [F.bit_xor(F.when(F.pmod("s", F.lit(PARITY)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"o{k}") for k in range(PARITY)]
     made = each.groupBy("key").agg(F.count("*").alias("size"), *odd)
@@ -253,7 +272,10 @@ def classes(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
     Members meet in rounds; lines that an earlier link or round put into one component aren't compared again.
     """
     beside = members.where("key <> leader")
-    led = similar(cut(_likely(beside.select(*_ordered("key", "leader")).distinct(), keys)), texts)
+    likely = cut(_likely(beside.select(*_ordered("key", "leader")).distinct(), keys))
+    tidy(members.sparkSession)
+    led = similar(likely, texts)
+    del likely
     tidy(members.sparkSession)
     roots = cut(components(led).withColumnRenamed("node", "key"))
     del led
@@ -269,6 +291,7 @@ def classes(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
         met = met.unionByName(_mixed(finer, "f").select(F.col("f").alias("t"), "key")).unionByName(short.select("t", "key"))
     met = stored(met.distinct(), "line-crowds")
     del left, open_, crowd
+    tidy(members.sparkSession)
     sketches = _sketches(met, keys, texts)
     tidy(members.sparkSession)
     for low, high in _rounds(met):
@@ -306,8 +329,13 @@ def duplicates(documents: DataFrame) -> DataFrame:
     held = stored(keys.join(members.select("key").distinct(), "key", "left_semi").select("key", F.col("place").alias("first"), *_WORD_COLUMNS, *_DENSE_COLUMNS), "line-members")
     wanted = held.select("key", "first")
     # of equal lines only the first one's text moves on
-    texts = full.select("key", _place(F.col("doc_id"), F.col("line_no")).alias("place"), "norm").join(_if_small(wanted, wanted.count()), "key").where("place = first").select("key", "norm")
-    roots = cut(classes(members, held, stored(texts.distinct(), "line-texts")))
+    many, texts = wanted.count(), full.select("key", _place(F.col("doc_id"), F.col("line_no")).alias("place"), "norm")
+    if many > SMALL:
+        texts = among(texts, ["key", "place"], wanted.select("key", F.col("first").alias("place")))
+    texts = texts.join(_if_small(wanted, many), "key").where("place = first").groupBy("key", "place").agg(F.min("norm").alias("norm")).drop("place")  # dealt by both
+    texts = stored(texts, "line-texts")
+    tidy(documents.sparkSession)
+    roots = cut(classes(members, held, texts))
     linked = keys.select("key", "place").join(roots, "key")
     first = linked.groupBy("root").agg(F.min("place").alias("first"))
     moved = cut(linked.join(first, "root").select("key", "first"))

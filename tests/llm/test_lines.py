@@ -239,3 +239,24 @@ def test_rounds_take_every_deal_once(spark, monkeypatch):
         monkeypatch.setattr(lines, "ROUND_PAIRS", pairs)
         rounds = lines._rounds(members)
         assert [k for low, high in rounds for k in range(low, high)] == list(range(lines.DEALS)) and 1 <= len(rounds) <= lines.ROUNDS
+
+
+def test_filter_before_a_shuffle(spark):
+    """No held row goes, of the others few stay, and columns that the rows alone have stay as they are."""
+    rows = spark.range(60_000).selectExpr("xxhash64(id) AS key", "cast(id AS decimal(32,0)) AS place", "id", "'x' AS bits")
+    held = rows.where("id % 3 = 0").select("key", "place")
+    kept = lines.among(rows, ["key", "place"], held)
+    assert kept.columns == rows.columns
+    ids = {x.id for x in kept.select("id").collect()}
+    assert ids >= set(range(0, 60_000, 3)) and len(ids) < 25_000
+    assert lines.among(rows, ["key", "place"], held.limit(0)).isEmpty()
+
+
+def test_bands_of_single_lines_are_not_shuffled_twice(spark):
+    """Only members of a band of two lines and few others reach the join on the band."""
+    r = random.Random(1)
+    texts = [" ".join("".join(r.choice("abcdefghijk") for _ in range(6)) for _ in range(20)) for _ in range(400)]
+    keys = lines._keys(lines.lines_of(spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0] + " end"])], "doc_id long, text string")))
+    found = lines.members_of(keys)
+    assert {x.key for x in found.collect()} == {x.key for x in keys.join(found, "key", "left_semi").collect()} and found.select("key").distinct().count() >= 2
+    assert "bits" in found._jdf.queryExecution().optimizedPlan().toString()
